@@ -217,6 +217,7 @@ def heavy_keys(df: DataFrame, group: str, key: str, order: list[str], share: flo
     Null and empty keys count towards the total and are never named.
     """
     counts = per_key(df, [group, key], order, chunk_rows=chunk_rows)
-    total = counts.groupBy(group).agg(F.sum("n_rows").alias("group_rows")).withColumnRenamed(group, "_g")
+    # a count of rows per group folds before its shuffle; summing the counts would number the keys twice
+    total = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("group_rows"))
     hot = counts.filter(F.col(key).isNotNull() & (F.length(key) > 0))
     return hot.join(total, hot[group].eqNullSafe(F.col("_g"))).filter(F.col("n_rows") >= F.lit(share) * F.col("group_rows")).select(group, key, "n_rows", "group_rows")
