@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tasklathe.landed import table, with_position
 from tasklathe.llm import frequent, leakage, linespam, packing, percentiles
+from tasklathe.plans.landed_queries import PLACED
+from tasklathe.shared import written
 
 QUANTILES = [0.5, 0.9, 0.99, 0.999]
 SHARE = 0.005
@@ -27,17 +29,23 @@ def _delays(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p2_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles of the delay per application over all rows."""
-    group = ["source_application_id"]
-    folded = percentiles.fold_values(_delays(spark, d), group, F.col("delay"))
-    return percentiles.multi_select(folded, group, QUANTILES).withColumnRenamed("value", "delay_ms")
+GRAINS = {"all": [], "day": ["day"], "partition": ["topic", "partition_id"], "day and partition": ["day", "topic", "partition_id"]}
+
 
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of the delay per application: over all rows, per day, per partition, and per both.
 
-def p2_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    group = ["source_application_id", "day"]
-    folded = percentiles.fold_values(_delays(spark, d), group, F.col("delay"))
-    return percentiles.multi_select(folded, group, QUANTILES).withColumnRenamed("value", "delay_ms")
+    The folds of days and partitions are made once; the coarser grains are
+    their combinations.
+    """
+    parts = ["day", "topic", "partition_id"]
+    finest = written(percentiles.fold_values(with_position(_delays(spark, d)), ["source_application_id", *parts], F.col("delay")), "folds")
+    every = None
+    for grain, kept in GRAINS.items():
+        f = finest.select("source_application_id", F.lit(grain).alias("grain"), *(F.col(c) if c in kept else F.lit(None).cast(finest.schema[c].dataType).alias(c) for c in parts), "value", "n")
+        f = f if len(kept) == len(parts) else percentiles.combine(f, ["source_application_id", "grain", *parts])
+        every = f if every is None else every.unionByName(f)
+    return percentiles.multi_select(every, ["source_application_id", "grain", *parts], QUANTILES).withColumnRenamed("value", "delay_ms")
 
 
 def p2_combined_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +103,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    p2_delay_percentiles,
-    p2_daily_percentiles,
+    p2_percentiles,
     p2_combined_percentiles,
     p4_found,
     p4_counts,
@@ -111,9 +118,9 @@ _QUERIES = (
 
 _DELAYS = """
 delays as (
-  select metadata.source_application_id as source_application_id, strftime(epoch_ms(record_timestamp), '%Y-%m-%d') as day,
+  select metadata.source_application_id as source_application_id, topic, partition_id, strftime(epoch_ms(record_timestamp), '%Y-%m-%d') as day,
          record_timestamp - metadata.timestamp_millis as delay
-  from task_log where metadata.timestamp_millis <> 0 and record_timestamp is not null)
+  from placed where metadata.timestamp_millis <> 0 and record_timestamp is not null)
 """
 
 
@@ -142,10 +149,18 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_delay_percentiles": f"with {_DELAYS} " + _quantiles("source_application_id", "delays"),
-        "p2_daily_percentiles": f"with {_DELAYS} " + _quantiles("source_application_id, day", "delays"),
+        "p2_percentiles": f"""
+with {PLACED}, {_DELAYS}, g as (
+  select source_application_id, day, topic, partition_id, grouping(day) as no_day, grouping(topic) as no_part, count(*) as n,
+         quantile_disc(delay, [0.5, 0.9, 0.99, 0.999]) as v
+  from delays group by grouping sets ((source_application_id), (source_application_id, day), (source_application_id, topic, partition_id),
+                                      (source_application_id, day, topic, partition_id)))
+select source_application_id, case when no_day = 1 and no_part = 1 then 'all' when no_part = 1 then 'day' when no_day = 1 then 'partition'
+         else 'day and partition' end as grain, day, topic, partition_id, unnest([0.5, 0.9, 0.99, 0.999]::double[]) as quantile, unnest(v) as delay_ms, n
+from g
+""",
         "p2_combined_percentiles": f"""
-with {_DELAYS}, s as (select *, greatest(length(bin(abs(delay))) - {BITS}, 0) as k from delays),
+with {PLACED}, {_DELAYS}, s as (select *, greatest(length(bin(abs(delay))) - {BITS}, 0) as k from delays),
 coarse as (select source_application_id, (case when delay < 0 then -1 else 1 end)
   * (((abs(delay) >> k) << k) + case when k > 0 then 1::bigint << (k - 1) else 0 end) as delay from s)
 """ + _quantiles("source_application_id", "coarse"),

@@ -1,9 +1,9 @@
 """Keyword-stuffed and link-list pages, by a hidden Markov model over lines.
 
 A text is cut into lines: at line breaks, at ends of sentences, and every
-``LINE_WORDS`` words where neither comes.  A line is reduced to seven small
+``LINE_WORDS`` words where neither comes.  A line is reduced to eight small
 categorical features (share of links, hash tags, product codes, separators,
-function words; how it ends; how often its words recur in the text).  A hidden
+function words; how it ends; how often its words recur in the text; length).  A hidden
 Markov model with the states prose, link list, tag list and menu labels the
 lines; a page is flagged if its non-prose lines hold more than half of its
 words.
@@ -11,7 +11,7 @@ words.
 The model starts from the tables below, which say what each kind of line looks
 like, and is fitted to the whole corpus by expectation maximisation: every
 pass adds up expected counts over all documents (a fixed number of figures),
-and each new table is an even mixture of what the corpus shows and the
+and each new table is a mixture of what the corpus shows (one fifth) and the
 starting table, so that states keep their meaning whatever the corpus holds.
 
 Null and blank texts have no lines and are never flagged.
@@ -34,27 +34,29 @@ from tasklathe.shared import written
 
 STATES = ("prose", "link list", "tag list", "menu")
 LINE_WORDS = 24
-BINS = (3, 3, 3, 3, 4, 2, 3)  # links, tags, codes, separators, function words, ending, recurrence
+BINS = (3, 3, 3, 3, 5, 3, 3, 4)  # links, tags, codes, separators, function words, ending, recurrence, length
 ROUNDS = 2
-ANCHOR = 0.5
+ANCHOR = 0.8
 NON_PROSE = 0.5
 
 # What lines of each kind look like, per feature and bin, one row per state.
 LOOKS = (
     # share of links: none, some, most
-    ((0.96, 0.03, 0.01), (0.02, 0.18, 0.80), (0.90, 0.08, 0.02), (0.90, 0.08, 0.02)),
+    ((0.96, 0.03, 0.01), (0.002, 0.198, 0.80), (0.90, 0.08, 0.02), (0.90, 0.08, 0.02)),
     # share of hash tags
     ((0.97, 0.02, 0.01), (0.96, 0.03, 0.01), (0.55, 0.10, 0.35), (0.96, 0.03, 0.01)),
     # share of product codes
     ((0.96, 0.03, 0.01), (0.96, 0.03, 0.01), (0.45, 0.20, 0.35), (0.60, 0.30, 0.10)),
     # share of separators
     ((0.90, 0.08, 0.02), (0.80, 0.15, 0.05), (0.60, 0.20, 0.20), (0.05, 0.15, 0.80)),
-    # share of function words: none, few, some, many
-    ((0.06, 0.10, 0.34, 0.50), (0.80, 0.15, 0.04, 0.01), (0.80, 0.16, 0.03, 0.01), (0.80, 0.16, 0.03, 0.01)),
-    # ends like a sentence: no, yes
-    ((0.15, 0.85), (0.97, 0.03), (0.95, 0.05), (0.97, 0.03)),
+    # share of function words: none, hardly any, few, some, many
+    ((0.10, 0.07, 0.12, 0.30, 0.41), (0.80, 0.13, 0.04, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01)),
+    # ends like a sentence: no, yes, not known because it was cut
+    ((0.20, 0.70, 0.10), (0.67, 0.03, 0.30), (0.66, 0.04, 0.30), (0.67, 0.03, 0.30)),
     # recurrence of its content words in the text: once, a few times, often
     ((0.60, 0.25, 0.15), (0.50, 0.30, 0.20), (0.08, 0.32, 0.60), (0.10, 0.35, 0.55)),
+    # words in it: up to 3, up to 8, more, cut for its length
+    ((0.20, 0.30, 0.40, 0.10), (0.30, 0.20, 0.20, 0.30), (0.06, 0.20, 0.44, 0.30), (0.25, 0.20, 0.25, 0.30)),
 )
 START = (0.85, 0.05, 0.05, 0.05)
 STAY = 0.9
@@ -89,16 +91,16 @@ _WORD = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]|[^\W_]+")
 _END = regex.compile(r"[.!?…。！？][\"'”»)\]]{0,2}\s*$")
 
 
-def lines_of(text: str) -> Iterator[str]:
-    """Lines of a text: at line breaks and ends of sentences, and every LINE_WORDS words."""
+def lines_of(text: str) -> Iterator[tuple[str, bool]]:
+    """Lines of a text, and whether they were cut for their length: at line breaks and ends of sentences, and every LINE_WORDS words."""
     for piece in _CUT.split(text):
         if piece and not piece.isspace():
             parts = piece.split()
             if len(parts) <= LINE_WORDS:
-                yield piece
+                yield piece, False
             else:
                 for a in range(0, len(parts), LINE_WORDS):
-                    yield " ".join(parts[a : a + LINE_WORDS])
+                    yield " ".join(parts[a : a + LINE_WORDS]), True
 
 
 def _share(x: float) -> int:
@@ -109,13 +111,14 @@ def line_features(text: str) -> tuple[list[int], list[int]]:
     """Per line of a text: its features as one number (mixed radix BINS), and its number of words."""
     found, per = [], []
     often: Counter[str] = Counter()
-    for line in lines_of(text):
+    for line, cut in lines_of(text):
         words = [w.lower() for w in _WORD.findall(line)]
         if not words:
             continue
-        found.append((line, words))
-        often.update(words)
-    for line, words in found:
+        found.append((line, words, cut))
+        # signs of a script without spaces are no words: there the pieces between spaces recur or don't
+        often.update(line.split() if _KANA.search(line) else words)
+    for line, words, cut in found:
         n = len(words)
         rest, linked = line, 0
         if "." in line or "<" in line:
@@ -129,26 +132,27 @@ def line_features(text: str) -> tuple[list[int], list[int]]:
         cjk = len(_KANA.findall(line))
         if cjk * 2 > n:
             function = len(_HIRAGANA.findall(line)) / max(1, cjk)
-            few, some, many = 0.02, 0.15, 0.30
+            few, some, most, many = 0.02, 0.12, 0.20, 0.32
         else:
             function = sum(w in FUNCTION_WORDS for w in words) / n
-            few, some, many = 0.02, 0.12, 0.28
-        content = [w for w in words if w not in FUNCTION_WORDS and not _KANA.match(w)]
+            few, some, most, many = 0.02, 0.10, 0.17, 0.26
+        content = line.split() if cjk else [w for w in words if w not in FUNCTION_WORDS]
         again = sum(min(often[w], 6) for w in content) / max(1, len(content)) if content else 2.0
         bins = (
             _share(min(1.0, linked / size)),
             _share(tags / size),
             _share(codes / size),
             _share(2 * signs / n),
-            0 if function < few else 1 if function < some else 2 if function < many else 3,
-            int(bool(_END.search(line))),
+            sum(function >= x for x in (few, some, most, many)),
+            1 if _END.search(line) else 2 if cut else 0,
             0 if again < 1.5 else 1 if again < 3 else 2,
+            3 if cut else 0 if n <= 3 else 1 if n <= 8 else 2,
         )
         code = 0
         for b, k in zip(bins, BINS):
             code = code * k + b
         per.append(code)
-    return per, [len(w) for _, w in found]
+    return per, [len(w) for _, w, _ in found]
 
 
 def bins_of(codes: np.ndarray) -> np.ndarray:
@@ -183,7 +187,7 @@ class Model:
         return out
 
     def mixed(self, counts: np.ndarray) -> Model:
-        """The next model: expected counts of the corpus, mixed evenly with the initial tables."""
+        """The next model: expected counts of the corpus, mixed with the initial tables (their share: ANCHOR)."""
         k, first = len(STATES), Model.initial()
         mix = lambda got, base: np.where(got.sum(-1, keepdims=True) > 0, (1 - ANCHOR) * got / np.maximum(got.sum(-1, keepdims=True), 1e-12) + ANCHOR * base, base)
         start, step = counts[:k], counts[k : k + k * k].reshape(k, k)

@@ -23,9 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,18 +96,22 @@ def _count(batches: Iterator[pa.RecordBatch], states: dict[str, list[tuple]]) ->
 
 def _rest(batches: Iterator[pa.RecordBatch], states: dict[str, list[tuple]]) -> Iterator[pa.RecordBatch]:
     """The candidates still open, of each state."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(3)], ["sid", "value", "n"])
+
     for g, v, cum in _gathered(batches):
         for sid, lo, hi, _ in states.get(g, ()):
             a, b = np.searchsorted(v, lo, "right") if lo > LO else 0, np.searchsorted(v, hi, "left") if hi < HI else len(v)
             if b > a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, sid, np.int32)), pa.array(v[a:b]), pa.array(np.diff(cum)[a:b])], ["sid", "value", "n"])
-
-
-def _settle(pdf: pd.DataFrame, rank: dict[int, int]) -> pd.DataFrame:
-    pdf = pdf.sort_values("value")
-    sid = int(pdf["sid"].iloc[0])
-    at = int(np.searchsorted(pdf["n"].cumsum().to_numpy(), rank[sid], "left"))
-    return pd.DataFrame({"sid": [sid], "value": [int(pdf["value"].iloc[at])]})
+                held.append((np.full(b - a, sid, np.int32), v[a:b], np.diff(cum[a : b + 1])))
+                size += b - a
+        if size > 50_000:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _select(data: DataFrame, states: dict[int, dict], max_rounds: int) -> DataFrame:
@@ -117,11 +120,11 @@ def _select(data: DataFrame, states: dict[int, dict], max_rounds: int) -> DataFr
     open_ = dict(states)
     found: dict[int, int] = {}
     for _ in range(max_rounds):
-        if not any(s["left"] is None or s["left"] > FINISH for s in open_.values()):
+        if not any(s["left"] > FINISH for s in open_.values()):
             break
         by: dict[str, list[tuple]] = {}
         for sid, s in open_.items():
-            if s["left"] is None or s["left"] > FINISH:
+            if s["left"] > FINISH:
                 by.setdefault(s["g"], []).append((sid, s["lo"], s["hi"], s["pivot"]))
         sent = spark.sparkContext.broadcast(by)
         part = data.mapInArrow(lambda it: _count(it, sent.value), _ROUND)  # noqa: B023
@@ -148,12 +151,15 @@ def _select(data: DataFrame, states: dict[int, dict], max_rounds: int) -> DataFr
     by = {}
     for sid, s in open_.items():
         by.setdefault(s["g"], []).append((sid, s["lo"], s["hi"], None))
-    rank = {sid: s["rank"] for sid, s in open_.items()}
+    ranks = spark.createDataFrame([(sid, s["rank"]) for sid, s in open_.items()], "sid int, rank bigint")
     done = spark.createDataFrame(list(found.items()), "sid int, value bigint")
     if not open_:
         return done
+    # a state has few candidates left, whatever its group holds: one running sum finds its rank
     rest = data.mapInArrow(lambda it: _rest(it, by), "sid int, value bigint, n bigint")
-    return done.unionByName(rest.groupBy("sid").applyInPandas(lambda p: _settle(p, rank), "sid int, value bigint"))
+    upto = F.sum("n").over(Window.partitionBy("sid").orderBy("value"))
+    at = rest.withColumn("upto", upto).join(ranks, "sid").filter("upto >= rank")
+    return done.unionByName(at.groupBy("sid").agg(F.min("value").alias("value")))
 
 
 def multi_select(folded: DataFrame, group: list[str], quantiles: list[float], max_rounds: int = 80) -> DataFrame:
@@ -174,7 +180,7 @@ def multi_select(folded: DataFrame, group: list[str], quantiles: list[float], ma
         for r in part.groupBy("g").agg(F.sum("n").alias("n")).orderBy("g").collect():  # bounded by MAX_STATES
             for q in quantiles:
                 rank = max(1, -int(-q * r["n"] // 1))
-                states[len(states)] = {"g": r["g"], "q": q, "n": r["n"], "rank": rank, "lo": LO, "hi": HI, "left": None, "pivot": None}
+                states[len(states)] = {"g": r["g"], "q": q, "n": r["n"], "rank": rank, "lo": LO, "hi": HI, "left": r["n"], "pivot": None}
         if not states:
             break
         heads = part.sparkSession.createDataFrame([(i, s["g"], s["q"], s["n"]) for i, s in states.items()], "sid int, g string, quantile double, n bigint")
