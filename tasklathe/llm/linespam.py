@@ -50,7 +50,7 @@ LOOKS = (
     # share of separators
     ((0.90, 0.08, 0.02), (0.80, 0.15, 0.05), (0.60, 0.20, 0.20), (0.05, 0.15, 0.80)),
     # share of function words: none, hardly any, few, some, many
-    ((0.10, 0.07, 0.12, 0.30, 0.41), (0.80, 0.13, 0.04, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01)),
+    ((0.03, 0.07, 0.13, 0.32, 0.45), (0.80, 0.13, 0.04, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01)),
     # ends like a sentence: no, yes, not known because it was cut
     ((0.20, 0.70, 0.10), (0.67, 0.03, 0.30), (0.66, 0.04, 0.30), (0.67, 0.03, 0.30)),
     # recurrence of its content words in the text: once, a few times, often
@@ -58,7 +58,7 @@ LOOKS = (
     # words in it: up to 3, up to 8, more, cut for its length
     ((0.20, 0.30, 0.40, 0.10), (0.30, 0.20, 0.20, 0.30), (0.06, 0.20, 0.44, 0.30), (0.25, 0.20, 0.25, 0.30)),
 )
-START = (0.85, 0.05, 0.05, 0.05)
+START = (0.76, 0.08, 0.08, 0.08)
 STAY = 0.9
 
 # Frequent function words of the languages the corpus is in.
