@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tasklathe.plans import landed_queries
+from tasklathe.plans import landed_queries, reference_queries
 
 
 def queries() -> dict:
-    return dict(landed_queries.QUERIES)
+    return reference_queries.QUERIES | landed_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(landed_queries.SQL)
+    return reference_queries.SQL | landed_queries.SQL
