@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages, by a hidden Markov model over lines.
 
 A text is cut into lines: at line breaks, at ends of sentences, and every
-``LINE_WORDS`` words where neither comes.  A line is reduced to eight small
+``LINE_WORDS`` words where neither comes.  A line is reduced to nine small
 categorical features (share of links, hash tags, product codes, separators,
-function words; how it ends; how often its words recur in the text; length).  A hidden
+function words; how it ends; how often its words recur in the text; length;
+words said twice in a row).  A hidden
 Markov model with the states prose, link list, tag list and menu labels the
 lines; a page is flagged if its non-prose lines hold more than half of its
 words.
@@ -34,7 +35,8 @@ from tasklathe.shared import written
 
 STATES = ("prose", "link list", "tag list", "menu")
 LINE_WORDS = 24
-BINS = (3, 3, 3, 3, 5, 3, 3, 4)  # links, tags, codes, separators, function words, ending, recurrence, length
+PIECE = 4000  # characters a line has at most
+BINS = (3, 3, 3, 3, 5, 3, 4, 4, 2)  # links, tags, codes, separators, function words, ending, recurrence, length, doubling
 ROUNDS = 2
 ANCHOR = 0.8
 NON_PROSE = 0.5
@@ -44,19 +46,21 @@ LOOKS = (
     # share of links: none, some, most
     ((0.96, 0.03, 0.01), (0.002, 0.198, 0.80), (0.90, 0.08, 0.02), (0.90, 0.08, 0.02)),
     # share of hash tags
-    ((0.97, 0.02, 0.01), (0.96, 0.03, 0.01), (0.55, 0.10, 0.35), (0.96, 0.03, 0.01)),
+    ((0.97, 0.02, 0.01), (0.96, 0.03, 0.01), (0.75, 0.05, 0.20), (0.96, 0.03, 0.01)),
     # share of product codes
-    ((0.96, 0.03, 0.01), (0.96, 0.03, 0.01), (0.45, 0.20, 0.35), (0.60, 0.30, 0.10)),
+    ((0.96, 0.03, 0.01), (0.96, 0.03, 0.01), (0.70, 0.10, 0.20), (0.60, 0.30, 0.10)),
     # share of separators
     ((0.90, 0.08, 0.02), (0.80, 0.15, 0.05), (0.60, 0.20, 0.20), (0.05, 0.15, 0.80)),
     # share of function words: none, hardly any, few, some, many
     ((0.03, 0.07, 0.13, 0.32, 0.45), (0.80, 0.13, 0.04, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01)),
     # ends like a sentence: no, yes, not known because it was cut
     ((0.20, 0.70, 0.10), (0.67, 0.03, 0.30), (0.66, 0.04, 0.30), (0.67, 0.03, 0.30)),
-    # recurrence of its content words in the text: once, a few times, often
-    ((0.60, 0.25, 0.15), (0.50, 0.30, 0.20), (0.08, 0.32, 0.60), (0.10, 0.35, 0.55)),
+    # recurrence of its content words in the text: once, twice, a few times, often
+    ((0.58, 0.26, 0.11, 0.05), (0.50, 0.25, 0.15, 0.10), (0.06, 0.19, 0.30, 0.45), (0.10, 0.25, 0.30, 0.35)),
     # words in it: up to 3, up to 8, more, cut for its length
     ((0.20, 0.30, 0.40, 0.10), (0.30, 0.20, 0.20, 0.30), (0.06, 0.20, 0.44, 0.30), (0.25, 0.20, 0.25, 0.30)),
+    # a word or a pair of words twice in a row: no, yes
+    ((0.98, 0.02), (0.93, 0.07), (0.75, 0.25), (0.92, 0.08)),
 )
 START = (0.76, 0.08, 0.08, 0.08)
 STAY = 0.9
@@ -70,18 +74,20 @@ FUNCTION_WORDS = frozenset(
     aber als am an auch auf aus bei beim bin bis das dass dem den der des die doch du ein eine einem einen einer er es für hat habe haben
     ich ihn ihr im in ist ja kein keine man mein meine mich mir mit nach nicht noch nur ob oder schon sehr sein seine sich sie sieht sind so um
     und uns unter vom von vor war waren was wenn wer wie wir wird zu zum zur
-    au aux avec avoir avons ce cela ces cet cette chez comme d dans de depuis des donc du elle elles en est et été étaient était eu il ils
-    j je l la le les leur lui ma mais me mes moi mon n ne nos notre nous on ont ou où par pas plus pour qu que qui s sa sans se ses si son
+    au aux avec avoir avons ce cela ces cet cette chez comme dans de depuis des donc du elle elles en est et été étaient était eu il ils
+    je la le les leur lui ma mais me mes moi mon ne nos notre nous on ont ou où par pas plus pour qu que qui sa sans se ses si son
     sont sur ta tout très tu un une vous y à
-    al algo ante aunque como con cual cuando de del desde donde dos el ella ellos en entre era es esta está este esto fue ha han hasta hay la
+    al algo ante aunque como con cual cuando de del desde donde el ella ellos en entre era es esta está este esto fue ha han hasta hay la
     las le les lo los más me mi mis muy nada ni no nos o para pero por porque que quien se ser si sin sobre son su sus también tan tras tu un
     una unas uno unos y ya yo
     """.split()
 )
 
 _LINK = regex.compile(r"""<a\s[^<>]*>|</a>|\[[^\[\]\n]{0,200}\]\([^()\s]+\)|(?:https?://|www\.)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)+(?:/[\w\-./?=&%+#~]*)|(?<![\w@.])[\w-]{2,}\.(?:com|net|org|info|biz|shop|store|online|test|example|invalid)\b""", regex.I)
+_LINKED = re.compile(r"\w\.\w|<[aA]|\]\(|www\.|://")
 _ANCHOR = regex.compile(r"<a\s[^<>]*>[^<>]{0,200}</a>", regex.I)
 _TAG = regex.compile(r"#[^\s#,;|]+")
+_DIGITS = re.compile(r"\d\d")
 _CODE = regex.compile(r"\b(?=[A-Z0-9/_-]*[A-Z])(?=[A-Z0-9/_-]*\d{2})[A-Z]{1,}[A-Z0-9]*(?:[-_/][A-Z0-9]+)*\b")
 _SEPARATOR = regex.compile(r"[|·•»›→]|(?<=\s)[>/\-–—*,;+](?=\s)|,(?=\s)|;(?=\s)|\s/\s")
 _CUT = regex.compile(r"\n+|(?<=[.!?…。！？](?:[\"'”»)\]]{0,2}))\s+|(?<=[。！？])")
@@ -94,6 +100,10 @@ _END = regex.compile(r"[.!?…。！？][\"'”»)\]]{0,2}\s*$")
 def lines_of(text: str) -> Iterator[tuple[str, bool]]:
     """Lines of a text, and whether they were cut for their length: at line breaks and ends of sentences, and every LINE_WORDS words."""
     for piece in _CUT.split(text):
+        for a in range(PIECE, len(piece), PIECE):  # a run without breaks: in pieces, so that patterns stay cheap
+            yield piece[a - PIECE : a], True
+            if a + PIECE >= len(piece):
+                piece = piece[a:]
         if piece and not piece.isspace():
             parts = piece.split()
             if len(parts) <= LINE_WORDS:
@@ -107,6 +117,11 @@ def _share(x: float) -> int:
     return 0 if x < 0.08 else 1 if x < 0.4 else 2
 
 
+def _doubles(w: list[str]) -> bool:
+    """Does a word follow itself, or a pair of words follow that pair?"""
+    return any(a == b for a, b in zip(w, w[1:])) or any(a == c and b == d for a, b, c, d in zip(w, w[1:], w[2:], w[3:]))
+
+
 def line_features(text: str) -> tuple[list[int], list[int]]:
     """Per line of a text: its features as one number (mixed radix BINS), and its number of words."""
     found, per = [], []
@@ -117,24 +132,27 @@ def line_features(text: str) -> tuple[list[int], list[int]]:
             continue
         found.append((line, words, cut))
         # signs of a script without spaces are no words: there the pieces between spaces recur or don't
-        often.update(line.split() if _KANA.search(line) else words)
+        often.update(line.split() if not line.isascii() and _KANA.search(line) else words)
     for line, words, cut in found:
         n = len(words)
         rest, linked = line, 0
-        if "." in line or "<" in line:
+        if _LINKED.search(line):
             rest = _ANCHOR.sub(" ", line)
             rest = _LINK.sub(" ", rest)
             linked = len(line) - len(rest) + (line.count("](") + line.lower().count("<a ")) * 2
-        tags = sum(len(m) for m in _TAG.findall(rest))
-        codes = sum(len(m) for m in _CODE.findall(rest))
+        tags = sum(len(m) for m in _TAG.findall(rest)) if "#" in rest else 0
+        codes = sum(len(m) for m in _CODE.findall(rest)) if _DIGITS.search(rest) else 0
         size = max(1, len(line))
         signs = len(_SEPARATOR.findall(rest))
-        cjk = len(_KANA.findall(line))
+        cjk = 0 if line.isascii() else len(_KANA.findall(line))
         if cjk * 2 > n:
             function = len(_HIRAGANA.findall(line)) / max(1, cjk)
             few, some, most, many = 0.02, 0.12, 0.20, 0.32
         else:
-            function = sum(w in FUNCTION_WORDS for w in words) / n
+            # parts of codes and tags may look like function words
+            plain = [w.lower() for w in _WORD.findall(_CODE.sub(" ", _TAG.sub(" ", rest)))] if tags or codes or linked else words
+            marks = len(_CODE.findall(rest)) + len(_TAG.findall(rest)) if tags or codes else 0
+            function = sum(w in FUNCTION_WORDS for w in plain) / max(1, len(plain) + marks)
             few, some, most, many = 0.02, 0.10, 0.17, 0.26
         content = line.split() if cjk else [w for w in words if w not in FUNCTION_WORDS]
         again = sum(min(often[w], 6) for w in content) / max(1, len(content)) if content else 2.0
@@ -145,8 +163,9 @@ def line_features(text: str) -> tuple[list[int], list[int]]:
             _share(2 * signs / n),
             sum(function >= x for x in (few, some, most, many)),
             1 if _END.search(line) else 2 if cut else 0,
-            0 if again < 1.5 else 1 if again < 3 else 2,
+            sum(again >= x for x in (1.5, 2.5, 3.5)),
             3 if cut else 0 if n <= 3 else 1 if n <= 8 else 2,
+            int(_doubles(line.split() if cjk else words)),
         )
         code = 0
         for b, k in zip(bins, BINS):

@@ -9,7 +9,7 @@ import regex
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Variation_Selector}ᅟᅠㅤﾠ]+")
 _HYPHEN_END = regex.compile(r"(?<=\p{L})[-‐‑][ \t]*\r?\n[ \t]*(?:>+[ \t]*)?(?=\p{L})")
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.*?-->", regex.S)
+_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,2000}?-->", regex.S)
 _LINK = regex.compile(r"\]\([^()\s]{1,400}\)")
 _ENTITY = regex.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _MARK = regex.compile(r"\p{M}+")
