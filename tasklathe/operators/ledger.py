@@ -80,7 +80,8 @@ def covered_ranges(done: DataFrame, extent: DataFrame, block: int = BLOCK) -> Da
     most one row per distinct pair of its ``block`` offsets.
     """
     clipped = (
-        done.join(extent, ["topic", "partition_id"])
+        done.select("topic", "partition_id", "from_offset", "to_offset", "started_at")
+        .join(extent, ["topic", "partition_id"])
         .select("topic", "partition_id", "started_at", F.greatest("from_offset", "least").alias("lo"), F.least("to_offset", "greatest").alias("hi"))
         .filter("lo <= hi")
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
@@ -106,7 +107,7 @@ def uncovered(records: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFr
     a position are left out; a null landed_at counts as landed before all work;
     work with a null bound or start covers nothing.
     """
-    placed = records.filter("topic is not null and partition_id is not null and record_offset is not null")
+    placed = records.select("topic", "partition_id", "record_offset", "task_bytes", "landed_at").filter("topic is not null and partition_id is not null and record_offset is not null")
     contents = placed.groupBy("topic", "partition_id", "record_offset", "task_bytes").agg(F.min(_micros("landed_at")).alias("landed"))
     newest = contents.groupBy("topic", "partition_id", "record_offset").agg(F.max("landed").alias("landed"))
     newest = newest.withColumn("block", F.floor(F.col("record_offset") / block))
