@@ -45,7 +45,7 @@ def islands(df: DataFrame, group: list[str], order: str, time: str, state: Colum
     Block-wise like the other running forms; null states form stretches too.
     """
     df = df.withColumns({"_s": state})
-    r = running(df, group, order, {"_was": ("prev", F.struct("_s"))})
+    r = running(df, group, order, {"_was": ("prev", F.struct("_s"))}, keep_blocks=True)
     change = F.when(F.col("_was").isNull() | ~F.col("_was._s").eqNullSafe(F.col("_s")), 1).otherwise(0)
     r = running(r.withColumn("_c", change), group, order, {"_i": ("sum", F.col("_c"))})
     return r.groupBy(*group, F.col("_i").alias("island"), F.col("_s").alias("state")).agg(F.min(time).alias("from_time"), F.max(time).alias("to_time"), F.count(F.lit(1)).alias("n"))

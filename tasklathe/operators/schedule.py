@@ -24,7 +24,7 @@ def scheduled_start(arrival: Column, scheduled: Column) -> Column:
 def fifo_service(df: DataFrame, lane: list[str], order: str, ready: Column, duration: Column) -> DataFrame:
     """``df`` with start and finish of tasks that a lane takes one after the other, in order: finish = max(ready, finish before) + duration."""
     df = df.withColumns({"_ready": ready, "_d": duration})
-    s = running(df, lane, order, {"_s": ("sum", F.col("_d"))})
+    s = running(df, lane, order, {"_s": ("sum", F.col("_d"))}, keep_blocks=True)
     m = running(s, lane, order, {"_m": ("max", F.col("_ready") - (F.col("_s") - F.col("_d")))})
     finish = F.col("_s") + F.col("_m")
     return m.withColumns({"start": finish - F.col("_d"), "finish": finish}).drop("_ready", "_d", "_s", "_m")
@@ -48,7 +48,7 @@ def token_bucket(df: DataFrame, scope: list[str], order: str, now: Column, rate:
     df = df.withColumns({"_now": now.cast("double"), "_n": n.cast("bigint")})
     first = created.cast("double") if created is not None else None
     taken = {"_used": ("sum", F.col("_n"))} | ({} if first is not None else {"_t0": ("min", F.col("_now"))})
-    r = running(df, scope, order, taken)
+    r = running(df, scope, order, taken, keep_blocks=True)
     r = r.withColumns({"_rel": F.col("_now") - (first if first is not None else F.col("_t0")), "_used": F.col("_used") - F.col("_n")})
     # what the limiter owes when row j comes: the greatest backlog any row before it started
     r = running(r, scope, order, {"_m": ("max", F.col("_rel") - F.lit(burst) - F.col("_used") * each)}, before=True)

@@ -489,7 +489,29 @@ def round_robin_lane(spark, d):
     return partitioner.round_robin(task_log(spark, d), "p", "o", 5).select("p", "o", "lane")
 
 
-@query()
+def _murmur(name: str, text: str, source: str) -> str:
+    """SQL steps of the producers' hash for ASCII texts of up to 11 characters; the last step has the column h."""
+    m, low = "1540483477::ubigint", "4294967295::ubigint"
+    byte = lambda i: f"ord(substr(s, {i}, 1))::ubigint"
+    out = f"{name}0 as (select *, {text} as s, length({text}) as n, xor(2538058380::ubigint, length({text})::ubigint) as h0 from {source})"
+    for b in (0, 1):
+        word = " + ".join(f"({byte(4 * b + i + 1)} << {8 * i})" for i in range(4))
+        out += f""", {name}{b}a as (select *, case when n >= {4 * b + 4} then (({word}) * {m}) & {low} end as w from {name}{b}),
+{name}{b}b as (select * exclude w, (xor(w, w >> 24) * {m}) & {low} as w from {name}{b}a),
+{name}{b + 1} as (select * exclude (w, h{b}), case when n >= {4 * b + 4} then xor((h{b} * {m}) & {low}, w) else h{b} end as h{b + 1} from {name}{b}b)"""
+    at = lambda i: f"ord(substr(s, (n - n % 4 + {i})::int, 1))::ubigint"
+    tail = f"case n % 4 when 3 then {at(1)} + ({at(2)} << 8) + ({at(3)} << 16) when 2 then {at(1)} + ({at(2)} << 8) when 1 then {at(1)} end"
+    return out + f""", {name}t as (select * exclude h2, case when n % 4 > 0 then (xor(h2, {tail}) * {m}) & {low} else h2 end as h3 from {name}2),
+{name}u as (select * exclude h3, (xor(h3, h3 >> 13) * {m}) & {low} as h4 from {name}t),
+{name} as (select * exclude (h4, s, n), xor(h4, h4 >> 15) & 2147483647 as h from {name}u)"""
+
+
+@query(f"""
+, {_murmur("lanes", "'s:' || k", "tlog")}, {_murmur("parts", "k", "tlog")},
+turn as (select p, o, row_number() over (partition by p order by o) - 1 as i from tlog where event_type = 'error')
+select l.p, l.o, l.k, cast(coalesce(turn.i % 16, l.h % 16) as int) as lane, case when l.event_type <> 'error' then cast(q.h % 8 as int) end as log_partition
+from lanes l join parts q on l.p = q.p and l.o = q.o left join turn on turn.p = l.p and turn.o = l.o
+""")
 def murmur2_lane(spark, d):
     """Bit-exact lanes and partitions by the producers' hash; keys of errors are null and take turns."""
     log = task_log(spark, d).withColumn("key", F.when(F.col("event_type") != "error", F.encode("k", "UTF-8")))

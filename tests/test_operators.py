@@ -280,6 +280,44 @@ def test_retry_metadata_and_legacy(spark):
     assert [h["key"] for h in old["headers"]] == ["x"] and wire.envelope_of(bytes(old["value"])) == (m | {"retry_count": 2, "scheduled_time_millis": 110}, b"v")
 
 
+# --- running processors ----------------------------------------------------------------------------
+
+
+def test_process(spark):
+    from concurrent.futures import Future, ThreadPoolExecutor
+
+    from tasklathe.operators import runtime
+
+    class Double:
+        def __init__(self):
+            self.pool = ThreadPoolExecutor(2)
+            self.last = {}
+
+        def process(self, row):
+            k, o = row["k"], row["o"]
+            assert self.last.get(k, -1) < o or k is None  # in order per key
+            self.last[k] = o
+            if o == 3:
+                raise ValueError("bad")
+            if o == 4:
+                return None
+            if o == 5:
+                return [{"k": k, "n": 1}, {"k": k, "n": 2}]
+            if o == 6:
+                return self.pool.submit(lambda: {"k": k, "n": 60})
+            if o == 7:
+                return Future()  # never done
+            return {"k": k, "n": o * 2}
+
+        def close(self):
+            self.pool.shutdown()
+
+    df = spark.createDataFrame([(k, o) for o in range(8) for k in ("a", "b")] + [(None, 1), (None, 0)], "k string, o bigint")
+    got = Counter((r["k"], r["n"], r["completion"]) for r in runtime.process(df, Double, "k string, n bigint", "k", ["o"], lanes=3, threads=4, timeout_ms=50).collect())
+    each = {(k, n, "sync"): 1 for k in "ab" for n in (0, 4, 1)} | {(k, 2, "sync"): 2 for k in "ab"} | {(k, 60, "deferred"): 1 for k in "ab"}
+    assert got == Counter(each | {(None, None, "failed"): 2, (None, None, "timed_out"): 2, (None, 2, "sync"): 1, (None, 0, "sync"): 1})
+
+
 # --- checks and metrics -----------------------------------------------------------------------------
 
 
