@@ -232,6 +232,15 @@ def test_unified(spark):
     assert drift.unified(df.limit(0), change).count() == 0
 
 
+def test_names_in_files(spark):
+    ch = [(1, 2, "a", "x"), (1, 4, "b", "x"), (1, 6, "x", "y"), (2, 1, "q", "r"), (2, 3, "r", "q")]
+    change = spark.createDataFrame([(s, f, o, "renamed", n, "string") for s, f, o, n in ch], "stream_no bigint, file_no int, field_path string, change_kind string, new_path string, new_type string")
+    files = spark.createDataFrame([(s, f) for s in (1, 2, 3) for f in range(8)], "stream_no bigint, file_no int")
+    got = {(r["stream_no"], r["file_no"]): r["names"] for r in drift.names_in_files(files, drift.canonical_names(change)).collect()}
+    assert got[1, 0] == {"a": "a", "b": "b"} and got[1, 3] == {"x": "a", "b": "b"} and got[1, 5] == {"x": "b"} and got[1, 7]["y"] == "b"
+    assert got[2, 2] == {"r": "q"} and got[2, 5] == {"q": "q"} and (3, 0) not in got
+
+
 def test_matching_is_best():
     r = random.Random(3)
     from itertools import permutations
