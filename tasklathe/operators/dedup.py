@@ -14,7 +14,9 @@ itself, so a collision costs a comparison and not a record.
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklathe.shared import drop_path, new_path, written
+from tasklathe.shared import drop_path, list_names, new_path, read_text, write_text
 
 PREFIX_IDS = 32_768  # identifiers that a prefix of the index should hold
 SEP = "\x1f"  # unit separator between the parts of an identifier
@@ -63,63 +65,82 @@ def _search(batch: pa.Table, index: pa.Table, out: pa.Schema) -> pa.Table:
 
 
 class IdIndex:
-    """Identifiers seen so far, below the shared folder."""
+    """Identifiers seen so far, below the shared folder.
+
+    What counts is the newest manifest: it names the runs and the batches taken
+    in.  A batch is in the index once its manifest is written, as a whole; one
+    that died before is taken in again, and one taken in again (same
+    ``batch_id``) gets the result it got before.  One writer at a time: a second
+    one fails on the manifest's number.
+    """
 
     def __init__(self, spark: SparkSession, expected_ids: int, merge_at: int = 4, path: str | None = None):
-        self.spark, self.bits, self.merge_at = spark, prefix_bits(expected_ids), merge_at
+        """Open the index at ``path``, or make one for about ``expected_ids`` identifiers (new ones keep their own prefix length)."""
+        self.spark, self.merge_at = spark, merge_at
         self.path = path or new_path(spark, "ids")
-        self.runs: list[str] = []
-        self.made = 0
+        self.state = {"version": 0, "bits": prefix_bits(expected_ids), "runs": [], "batches": {}}
+        known = [int(n.split("-")[1]) for n in list_names(spark, f"{self.path}/manifests") if n.startswith("m-") and not n.endswith(".tmp")]
+        if known:
+            self.state = json.loads(read_text(spark, f"{self.path}/manifests/m-{max(known):09d}"))
+
+    @property
+    def runs(self) -> list[str]:
+        return self.state["runs"]
+
+    def _commit(self, runs: list[str], batches: dict[str, str]) -> None:
+        new = {**self.state, "version": self.state["version"] + 1, "runs": runs, "batches": batches}
+        write_text(self.spark, f"{self.path}/manifests/m-{new['version']:09d}", json.dumps(new))
+        self.state = new
 
     def _prefix(self) -> Column:
-        return F.shiftrightunsigned(F.col("hash"), 64 - self.bits) if self.bits else F.lit(0).cast("bigint")
+        bits = self.state["bits"]
+        return F.shiftrightunsigned(F.col("hash"), 64 - bits) if bits else F.lit(0).cast("bigint")
 
     def _index(self) -> DataFrame:
-        schema = "prefix bigint, hashes array<bigint>, idents array<string>"
-        return self.spark.read.schema(schema).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema("prefix bigint, hashes array<bigint>, idents array<string>").parquet(*self.runs)
 
-    def _add_run(self, novel: DataFrame) -> None:
+    def _new_run(self, novel: DataFrame) -> str:
         arrays = novel.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("hash", "ident"))).alias("a"))
-        self._store(arrays.select("prefix", F.col("a.hash").alias("hashes"), F.col("a.ident").alias("idents")))
-
-    def _store(self, run: DataFrame) -> None:
-        path = f"{self.path}/run-{self.made}"
-        run.write.mode("overwrite").parquet(path)
-        self.made += 1
-        self.runs.append(path)
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        arrays.select("prefix", F.col("a.hash").alias("hashes"), F.col("a.ident").alias("idents")).write.parquet(path)
+        return path
 
     def compact(self) -> None:
-        """Merge all runs into one and drop the old ones."""
+        """Merge all runs into one; the old ones are dropped once the new manifest is there."""
         if len(self.runs) < 2:
             return
         old = list(self.runs)
         flat = self._index().select("prefix", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("idents").alias("ident"))))
-        self.runs = []
-        self._add_run(flat)
+        self._commit([self._new_run(flat)], self.state["batches"])
         for p in old:
             drop_path(self.spark, p)
 
-    def accept(self, batch: DataFrame, ident: Column, order: Column) -> DataFrame:
+    def accept(self, batch: DataFrame, ident: Column, order: Column, batch_id: str | None = None) -> DataFrame:
         """Take in a batch; one row per distinct identifier of it.
 
         Columns: ident, n (its rows in the batch), first (the least ``order``
         among them, the copy to keep), seen (an earlier batch had it).  The
-        result is a written table: the batch is in the index when the call
-        returns, and reading the result again changes nothing.
+        result is a written table, so reading it again changes nothing.
         """
-        local = batch.groupBy(ident.alias("ident")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+        batch_id = batch_id or uuid.uuid4().hex
+        schema = "ident string, n bigint, first bigint, hash bigint, prefix bigint, seen boolean"
+        if batch_id in self.state["batches"]:
+            return self.spark.read.schema(schema).parquet(self.state["batches"][batch_id]).select("ident", "n", "first", "seen")
+        local = batch.groupBy(ident.alias("ident")).agg(F.count(F.lit(1)).alias("n"), F.min(order).cast("bigint").alias("first"))
         local = local.withColumn("hash", F.xxhash64("ident")).withColumn("prefix", self._prefix())
         if self.runs:
             from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import BooleanType, StructType
+            from pyspark.sql.types import StructType
 
-            schema = StructType(list(local.schema.fields)).add("seen", BooleanType())
-            out = to_arrow_schema(schema)
+            out = to_arrow_schema(StructType.fromDDL(schema))
             marked = local.groupBy("prefix").cogroup(self._index().groupBy("prefix")).applyInArrow(lambda a, b: _search(a, b, out), schema)
         else:
             marked = local.withColumn("seen", F.lit(False))
-        result = written(marked, "batch")
-        self._add_run(result.filter(~F.col("seen")))
+        path = f"{self.path}/batch-{uuid.uuid4().hex}"
+        marked.write.parquet(path)
+        result = self.spark.read.schema(schema).parquet(path)
+        run = self._new_run(result.filter(~F.col("seen")))
+        self._commit([*self.runs, run], {**self.state["batches"], batch_id: path})
         if len(self.runs) >= self.merge_at:
             self.compact()
         return result.select("ident", "n", "first", "seen")

@@ -101,6 +101,14 @@ def records_by_format(df: DataFrame) -> DataFrame:
     return df.groupBy(kind.alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_trace(df: DataFrame, header: str, stages: list[str]) -> DataFrame:
+    """Add ``trace_id`` from a header and ``spans``: the trace itself and one child per stage; nulls without the header."""
+    trace = F.decode(last_header(F.col("headers"), header), "UTF-8")
+    df = df.withColumn("trace_id", trace)
+    spans = F.array(F.col("trace_id"), *(F.concat(F.col("trace_id"), F.lit(f"-{s}")) for s in stages))
+    return df.withColumn("spans", F.when(F.col("trace_id").isNotNull(), spans))
+
+
 def logging_context(subscription: str, enabled: bool = True) -> Column:
     """Diagnostic map of a row; empty when switched off."""
     if not enabled:

@@ -30,6 +30,31 @@ class Processor(Protocol):
 OUTCOME = "completion string, error string"  # sync, deferred, failed or timed_out
 
 
+class _Kept:
+    """A processor that outlives the task; closing it is left to the worker's end."""
+
+    def __init__(self, inner: Processor):
+        self.process = inner.process
+
+    def close(self) -> None:
+        pass
+
+
+def per_worker(name: str, factory: Callable[[], Processor]) -> Callable[[], Processor]:
+    """A factory that makes one processor per Python worker and hands it to all its tasks (instead of one per task)."""
+
+    def make() -> Processor:
+        # looked up by import, for functions that travel by value bring copies of their globals
+        import builtins
+
+        kept = builtins.__dict__.setdefault("_tasklathe_processors", {})
+        if name not in kept:
+            kept[name] = factory()
+        return _Kept(kept[name])
+
+    return make
+
+
 def process(df: DataFrame, factory: Callable[[], Processor], schema: str, key: str, order: list[str], *, lanes: int | None = None, threads: int = 1, timeout_ms: int = -1) -> DataFrame:
     """Rows that the processor hands on, with ``completion`` and ``error``.
 

@@ -614,6 +614,12 @@ def metric_throttled(spark, d):
     return w.groupBy("p").agg(F.round(F.sum("wait"), 1).alias("throttled"), F.count_if(F.col("wait") > 0).alias("delayed"))
 
 
+@query(_timer_sql("greatest(t, scheduled) - t", "true"))
+def metric_scheduling_delay(spark, d):
+    delay = schedule.scheduled_start(F.col("t"), F.col("scheduled")) - F.col("t")
+    return _rounded(metrics.timer(task_log(spark, d), ["p"], delay))
+
+
 _ISLANDS = """
 , s as (select p, o, t, value > 100 as state from tlog),
 c as (select *, case when lag(state) over w is distinct from state or lag(o) over w is null then 1 else 0 end as c from s window w as (partition by p order by o)),

@@ -164,6 +164,24 @@ def test_deliver_once_is_brute_force(spark, seed, n_steps):
         assert sorted(first.values()) == sorted(x["first"] for x in got)
 
 
+def test_index_is_kept_and_batches_are_taken_in_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    one = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, o bigint")
+    two = spark.createDataFrame([("b", 4), ("c", 5)], "k string, o bigint")
+    take = lambda ix, df, b: sorted(tuple(r) for r in ix.accept(df, dedup.identifier("k"), F.col("o"), b).collect())
+    assert take(dedup.IdIndex(spark, 10, path=path), one, "b1") == [("a", 2, 1, False), ("b", 1, 3, False)]
+    ix = dedup.IdIndex(spark, 10, path=path)  # another session
+    late = dedup.IdIndex(spark, 10, path=path)
+    want = [("b", 1, 4, True), ("c", 1, 5, False)]
+    assert take(ix, two, "b2") == want and len(ix.runs) == 2
+    with pytest.raises(FileExistsError):  # a second writer is told
+        late.accept(two, dedup.identifier("k"), F.col("o"), "b4")
+    ix.compact()
+    assert len(ix.runs) == 1
+    assert take(ix, two, "b2") == want  # again: the same answer
+    assert take(dedup.IdIndex(spark, 10, path=path), one, "b3") == [("a", 2, 1, True), ("b", 1, 3, True)]
+
+
 def test_index_tells_colliding_hashes_apart(spark):
     import pyarrow as pa
 

@@ -318,6 +318,27 @@ def test_process(spark):
     assert got == Counter(each | {(None, None, "failed"): 2, (None, None, "timed_out"): 2, (None, 2, "sync"): 1, (None, 0, "sync"): 1})
 
 
+def test_per_worker_and_trace(spark, rows):
+    from tasklathe.operators import runtime
+
+    class Count:
+        def __init__(self):
+            self.n = 0
+
+        def process(self, row):
+            self.n += 1
+            return {"n": self.n}
+
+        def close(self):
+            raise AssertionError("kept")
+
+    df = spark.createDataFrame([("a", i) for i in range(5)], "k string, o bigint")
+    make = runtime.per_worker("count", Count)
+    assert rows(runtime.process(df, make, "n bigint", "k", ["o"], lanes=1).select("n")) == [(i,) for i in range(1, 6)]
+    h = spark.createDataFrame([([("trace", b"t1")],), ([],), (None,)], f"headers {extract.HEADERS_TYPE}")
+    assert [r["spans"] for r in extract.with_trace(h, "trace", ["A", "B"]).collect()] == [["t1", "t1-A", "t1-B"], None, None]
+
+
 # --- checks and metrics -----------------------------------------------------------------------------
 
 
