@@ -50,12 +50,13 @@ def states_of_reports(reports: DataFrame) -> DataFrame:
     return latest.select("run_id", "r.topic", "r.partition_id", "r.from_offset", "r.to_offset", "r.started_at", state.alias("item_state"))
 
 
-def _disjoint(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cut the ranges of one block into disjoint ones with the greatest started_at of those that cover them."""
-    head = pdf.iloc[0]
-    starts = sorted(zip(pdf["lo"], pdf["hi"], pdf["started_at"]))
-    edges = sorted({*pdf["lo"], *(pdf["hi"] + 1)})
-    rows, heap, i = [], [], 0
+def disjoint(ranges: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Disjoint (lo, hi, greatest start of the ranges that cover it) of (lo, hi, start), by a sweep over their edges."""
+    starts = sorted(ranges)
+    edges = sorted({r[0] for r in ranges} | {r[1] + 1 for r in ranges})
+    rows: list[list[int]] = []
+    heap: list[tuple[int, int]] = []
+    i = 0
     for a, b in zip(edges, edges[1:]):
         while i < len(starts) and starts[i][0] <= a:
             heapq.heappush(heap, (-starts[i][2], starts[i][1]))
@@ -67,8 +68,23 @@ def _disjoint(pdf: pd.DataFrame) -> pd.DataFrame:
                 rows[-1][1] = b - 1
             else:
                 rows.append([a, b - 1, -heap[0][0]])
-    out = pd.DataFrame(rows, columns=["lo", "hi", "started_at"])
-    return out.assign(topic=head["topic"], partition_id=head["partition_id"], block=head["block"])[["topic", "partition_id", "block", "lo", "hi", "started_at"]]
+    return rows
+
+
+def _sweep(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Disjoint ranges of each block; rows come block by block."""
+    names = ["topic", "partition_id", "block", "lo", "hi", "started_at"]
+    held, at = [], None
+    for pdf in pdfs:
+        out = []
+        for t, p, b, lo, hi, start in pdf.itertuples(index=False):
+            if (t, p, b) != at:
+                out += [(*at, *r) for r in disjoint(held)] if held else []
+                held, at = [], (t, p, b)
+            held.append((lo, hi, start))
+        yield pd.DataFrame(out, columns=names)
+    if held:
+        yield pd.DataFrame([(*at, *r) for r in disjoint(held)], columns=names)
 
 
 def covered_ranges(done: DataFrame, extent: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -89,7 +105,8 @@ def covered_ranges(done: DataFrame, extent: DataFrame, block: int = BLOCK) -> Da
         .withColumn("hi", F.least("hi", F.col("block") * block + (block - 1)))
     )
     folded = clipped.groupBy("topic", "partition_id", "block", "lo", "hi").agg(F.max(_micros("started_at")).alias("started_at"))
-    return folded.groupBy("topic", "partition_id", "block").applyInPandas(_disjoint, "topic string, partition_id int, block bigint, lo bigint, hi bigint, started_at bigint")
+    by = ["topic", "partition_id", "block"]
+    return folded.repartition(*by).sortWithinPartitions(*by).mapInPandas(_sweep, "topic string, partition_id int, block bigint, lo bigint, hi bigint, started_at bigint")
 
 
 def _micros(col: str) -> Column:
