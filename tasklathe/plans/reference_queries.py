@@ -680,3 +680,39 @@ _SUPPLIED = [("partition.concurrency", 0, "8"), ("partition.concurrency", 1, "4"
     for x in config.DEFINITIONS) + ") as v(name, value, supplied)")
 def property_precedence(spark, d):
     return config.effective(spark.createDataFrame(_SUPPLIED, "name string, priority int, value string"), spark)
+
+
+# --- streaming forms, run over the whole log as a bounded stream --------------------------------
+
+
+def _streamed(spark: SparkSession, log: DataFrame, by: list[str], processor) -> DataFrame:
+    """The rows a stateful processor makes of ``log``, read as a stream and written to the shared folder."""
+    from tasklathe.shared import new_path
+    from tasklathe.streaming.processors import run_stateful, use_rocksdb, with_event_time
+
+    use_rocksdb(spark)
+    base = new_path(spark, "stream")
+    log.write.parquet(f"{base}/in")
+    stream = with_event_time(spark.readStream.schema(log.schema).parquet(f"{base}/in"), "t")
+    out = run_stateful(stream, by, processor)
+    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query(_STAT + "select p, o, k, from_ms, to_ms, n from stat")
+def stream_key_stat(spark, d):
+    from tasklathe.streaming.processors import KeyStat
+
+    return _streamed(spark, task_log(spark, d).select("p", "o", "k", "t"), ["p"], KeyStat(W6))
+
+
+@query(_MARKS + "select p, max(high_watermark) as high_watermark from marks group by p")
+def stream_completion(spark, d):
+    """Watermarks reached by a stream of received and completed records."""
+    from tasklathe.streaming.processors import Completion
+
+    log = task_log(spark, d)
+    got = log.select("p", "o", "t", F.lit("received").alias("kind"), F.lit(-1).cast("bigint").alias("timeout_at"))
+    done = log.filter("completed").select("p", "o", "t", F.lit("completed").alias("kind"), F.lit(-1).cast("bigint").alias("timeout_at"))
+    return _streamed(spark, got.unionByName(done), ["p"], Completion()).groupBy("p").agg(F.max("high_watermark").alias("high_watermark"))
