@@ -116,16 +116,16 @@ def windows(tokens: list[str], stride: int) -> Iterator[tuple[int, list[str]]]:
         yield last, tokens[last:]
 
 
-def _vectors(rows: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _vectors(rows: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TF-IDF of windows as triplets (row, feature, weight); counts of a word in a window add up."""
     r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    f = np.fromiter((x for row in rows for x in row), np.int64, count=len(r))
+    f = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
     key, n = np.unique(r * FEATURES + f, return_counts=True)
     r, f = key // FEATURES, key % FEATURES
     return r, f, n * idf[f]
 
 
-def _project(rows: list[list[int]], idf: np.ndarray, basis: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _project(rows: list, idf: np.ndarray, basis: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Latent vectors of windows, their whole norms, and the norms that lie on known features. at: feature -> row of the basis or -1."""
     r, f, w = _vectors(rows, idf)
     n = len(rows)
@@ -240,32 +240,34 @@ def _reach(p: list[str], d: list[str], most: int) -> list[int]:
     return out
 
 
-def longest_run(p: list[str], d: list[str], seeds: dict[tuple, list[int]], min_run: int = MIN_RUN, errors_in: int = ERRORS_IN) -> int:
+def longest_run(p: list[str], d: list[str], seeds: dict[tuple, list[int]] | None = None, min_run: int = MIN_RUN, errors_in: int = ERRORS_IN, at: list[tuple[int, int]] | None = None) -> int:
     """Length of a run of ``p`` in ``d`` with at most one error in ``errors_in`` words; 0 if none has ``min_run`` words.
 
-    ``seeds``: where in ``p`` each block of SEED_WORDS words starts.  A run with
-    so few errors always holds such a block unharmed.
+    ``at``: the places (in ``p``, in ``d``) where both have the same block of
+    SEED_WORDS words, by place in ``d``; found from ``seeds`` (``seeds_of(p)``)
+    if not given.  A run with so few errors always holds such a block unharmed.
     """
+    if at is None:
+        at = [(i, j) for j in range(len(d) - SEED_WORDS + 1) for i in seeds.get(tuple(d[j : j + SEED_WORDS]), ())]
     most = len(p) // errors_in + 1
     seen: set[tuple[int, int]] = set()
     best = 0
-    for j in range(len(d) - SEED_WORDS + 1):
-        for i in seeds.get(tuple(d[j : j + SEED_WORDS]), ()):
-            if (i, j) in seen:
-                continue
-            a, b, n = i, j, SEED_WORDS
-            seen.add((i, j))
-            while a + n < len(p) and b + n < len(d) and p[a + n] == d[b + n]:
-                n += 1
-                seen.add((a + n - SEED_WORDS, b + n - SEED_WORDS))
-            room = len(p) + most
-            right = _reach(p[a + n :], d[b + n : b + n + room], most)
-            left = _reach(p[:a][::-1], d[max(0, b - room) : b][::-1], most)
-            for x, r in enumerate(right):
-                for y, q in enumerate(left):
-                    run = n + r + q
-                    if run >= min_run and run >= errors_in * (x + y):
-                        best = max(best, run)
+    for i, j in at:
+        if (i, j) in seen:
+            continue
+        n = SEED_WORDS
+        seen.add((i, j))
+        while i + n < len(p) and j + n < len(d) and p[i + n] == d[j + n]:
+            n += 1
+            seen.add((i + n - SEED_WORDS, j + n - SEED_WORDS))
+        room = len(p) + most
+        right = _reach(p[i + n :], d[j + n : j + n + room], most)
+        left = _reach(p[:i][::-1], d[max(0, j - room) : j][::-1], most)
+        for x, r in enumerate(right):
+            for y, q in enumerate(left):
+                run = n + r + q
+                if run >= min_run and run >= errors_in * (x + y):
+                    best = max(best, run)
     return best
 
 
@@ -282,8 +284,11 @@ def seeds_of(p: list[str]) -> dict[tuple, list[int]]:
 def _search(batches: Iterator[pa.RecordBatch], sent, cosine: float, exact: bool) -> Iterator[pa.RecordBatch]:
     basis, at, idf, latent, owner, texts = sent.value
     known = _Features()
-    seeds = [seeds_of(p) for p in texts]
-    grams = {g for s in seeds for g in s}
+    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))  # windows of a passage lie side by side
+    grams: dict[tuple, list[tuple[int, int]]] = {}
+    for k, p in enumerate(texts):
+        for g, places in seeds_of(p).items():
+            grams.setdefault(g, []).extend((k, i) for i in places)
     for b in batches:
         ids, found = b.column("id"), []
         docs = b.column("words").to_pylist()
@@ -291,34 +296,41 @@ def _search(batches: Iterator[pa.RecordBatch], sent, cosine: float, exact: bool)
             rows, of = [], []
             toks = [t.split() for t in docs[lo : lo + 256]]
             for i, t in enumerate(toks):
-                f = [known[w] for w in t]
-                inside = at[f] >= 0 if f else np.zeros(0, bool)
-                if inside.sum() < SEED_WORDS:
+                f = np.fromiter((known[w] for w in t), np.int64, count=len(t))
+                cum = np.append(0, np.cumsum(at[f] >= 0))
+                if cum[-1] < SEED_WORDS:
                     continue
-                cum = np.append(0, np.cumsum(inside))
                 last = max(0, len(f) - WINDOW)
-                for a in {*range(0, last, DOC_STRIDE), last}:
-                    if cum[min(len(f), a + WINDOW)] - cum[a] >= 3:
-                        rows.append(f[a : a + WINDOW])
-                        of.append(i)
+                starts = np.append(np.arange(0, last, DOC_STRIDE), last)
+                for a in starts[cum[np.minimum(len(f), starts + WINDOW)] - cum[starts] >= 3]:
+                    rows.append(f[a : a + WINDOW])
+                    of.append(i)
             near: dict[int, dict[int, float]] = {}
+            of = np.array(of, np.int64)
             for c in range(0, len(rows), 2048):
                 x, norm, on = _project(rows[c : c + 2048], idf, basis, at)
                 keep = np.flatnonzero(on >= cosine * norm)  # the others can't reach the cosine
                 if not len(keep):
                     continue
                 sims = (x[keep] / norm[keep, None].astype(np.float32)) @ latent.T
+                sims = np.maximum.reduceat(sims, heads, axis=1)
+                doc = of[c + keep]
+                firsts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                sims = np.maximum.reduceat(sims, firsts, axis=0)
                 for r, p in zip(*np.nonzero(sims >= cosine)):
-                    d = near.setdefault(of[c + keep[r]], {})
-                    d[owner[p]] = max(d.get(owner[p], 0.0), float(sims[r, p]))
+                    d = near.setdefault(int(doc[firsts[r]]), {})
+                    d[int(owner[heads[p]])] = max(d.get(int(owner[heads[p]]), 0.0), float(sims[r, p]))
             for i, who in near.items():
                 t = toks[i]
-                if exact and not any(tuple(t[j : j + SEED_WORDS]) in grams for j in range(len(t) - SEED_WORDS + 1)):
-                    continue
-                for p, c in who.items():
-                    run = longest_run(texts[p], t, seeds[p])
+                hits: dict[int, list[tuple[int, int]]] = {}
+                for j, g in enumerate(zip(t, t[1:], t[2:], t[3:], t[4:])):
+                    for k, place in grams.get(g, ()):
+                        if k in who:
+                            hits.setdefault(k, []).append((place, j))
+                for p in hits if exact else who:
+                    run = longest_run(texts[p], t, at=hits[p]) if p in hits else 0
                     if run or not exact:
-                        found.append((lo + i, int(p), c, run))
+                        found.append((lo + i, p, who[p], run))
         rows_at = pa.array([x[0] for x in found], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [ids.take(rows_at), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[3] for x in found], pa.int32())],
