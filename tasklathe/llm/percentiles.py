@@ -156,7 +156,8 @@ def _select(data: DataFrame, states: dict[int, dict], max_rounds: int) -> DataFr
     if not open_:
         return done
     # a state has few candidates left, whatever its group holds: one running sum finds its rank
-    rest = data.mapInArrow(lambda it: _rest(it, by), "sid int, value bigint, n bigint")
+    sent = spark.sparkContext.broadcast(by)  # at most MAX_STATES entries
+    rest = data.mapInArrow(lambda it: _rest(it, sent.value), "sid int, value bigint, n bigint")
     upto = F.sum("n").over(Window.partitionBy("sid").orderBy("value"))
     at = rest.withColumn("upto", upto).join(ranks, "sid").filter("upto >= rank")
     return done.unionByName(at.groupBy("sid").agg(F.min("value").alias("value")))
