@@ -57,6 +57,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_own(spark: SparkSession) -> None:
+    """Delete all tables this application wrote to the shared folder; results still to be read from them are lost."""
+    drop_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
