@@ -32,7 +32,8 @@ SEP = "\x1f"  # unit separator between the parts of an identifier
 
 def identifier(*cols: str) -> Column:
     """An injective string of the columns: length-free parts with SEP and escapes; null is its own value."""
-    parts = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\x1e\x1f])", "\x1e$1"), F.lit("\x1e0")) for c in cols]
+    escaped = lambda c: F.replace(F.replace(c, F.lit("\x1e"), F.lit("\x1e\x1e")), F.lit(SEP), F.lit("\x1e" + SEP))
+    parts = [F.coalesce(escaped(F.col(c).cast("string")), F.lit("\x1e0")) for c in cols]
     return F.concat_ws(SEP, *parts)
 
 
