@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tasklathe.plans import landed_queries, reference_queries
+from tasklathe.plans import landed_queries, log_queries
 
 
 def queries() -> dict:
-    return reference_queries.QUERIES | landed_queries.QUERIES
+    return log_queries.QUERIES | landed_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference_queries.SQL | landed_queries.SQL
+    return log_queries.SQL | landed_queries.SQL

@@ -1,4 +1,4 @@
-"""The task log that the reference queries run on, mapped from ``events``.
+"""The task log that the log queries run on, mapped from ``events``.
 
 topic 'events'; partition p = user_id % 4; offset o by arrival; key k; time t
 in epoch milliseconds; duration d; completed; scheduled.  ``LOG_SQL`` is the
