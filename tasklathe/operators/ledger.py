@@ -104,12 +104,15 @@ def covered_ranges(done: DataFrame, extent: DataFrame, block: int = BLOCK) -> Da
         .withColumn("lo", F.greatest("lo", F.col("block") * block))
         .withColumn("hi", F.least("hi", F.col("block") * block + (block - 1)))
     )
-    folded = clipped.groupBy("topic", "partition_id", "block", "lo", "hi").agg(F.max(_micros("started_at")).alias("started_at"))
+    folded = clipped.groupBy("topic", "partition_id", "block", "lo", "hi").agg(F.max(_micros(done, "started_at")).alias("started_at"))
     by = ["topic", "partition_id", "block"]
     return folded.repartition(*by).sortWithinPartitions(*by).mapInPandas(_sweep, "topic string, partition_id int, block bigint, lo bigint, hi bigint, started_at bigint")
 
 
-def _micros(col: str) -> Column:
+def _micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since 1970 of a time column; one without a zone is taken as it stands, whatever the session's zone."""
+    if df.schema[col].dataType.simpleString() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
@@ -125,7 +128,7 @@ def uncovered(records: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFr
     work with a null bound or start covers nothing.
     """
     placed = records.select("topic", "partition_id", "record_offset", "task_bytes", "landed_at").filter("topic is not null and partition_id is not null and record_offset is not null")
-    contents = placed.groupBy("topic", "partition_id", "record_offset", "task_bytes").agg(F.min(_micros("landed_at")).alias("landed"))
+    contents = placed.groupBy("topic", "partition_id", "record_offset", "task_bytes").agg(F.min(_micros(records, "landed_at")).alias("landed"))
     newest = contents.groupBy("topic", "partition_id", "record_offset").agg(F.max("landed").alias("landed"))
     newest = newest.withColumn("block", F.floor(F.col("record_offset") / block))
     extent = placed.groupBy("topic", "partition_id").agg(F.min("record_offset").alias("least"), F.max("record_offset").alias("greatest"))

@@ -31,8 +31,9 @@ def with_event_time(df: DataFrame, millis: str, delay: str = "0 seconds", name:
 
 
 def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    parts = list(rows)
-    return pd.concat(parts).sort_values(list(by), kind="stable") if parts else pd.DataFrame()
+    """A micro-batch's rows of a key in order; rows without time or offset are left out."""
+    pdf = pd.concat(list(rows))
+    return pdf.dropna(subset=["t", "o"]).sort_values(list(by), kind="stable")
 
 
 class Compaction(StatefulProcessor):
@@ -156,6 +157,7 @@ class Delay(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, out, keep = self._now(timerValues), [], []
         for pdf in rows:
+            pdf = pdf.dropna(subset=["t", "o"])
             for o, t, at in zip(pdf["o"], pdf["t"], pdf["scheduled"]):
                 at = int(at) if at == at and at is not None else 0
                 if at <= max(now, int(t)):
@@ -254,7 +256,8 @@ class Completion(StatefulProcessor):
         held = {r[0]: [r[1], r[2]] for r in self.open.get()} if self.open.exists() else {}
         early = set()
         for pdf in rows:
-            for o, kind, at in zip(pdf["o"], pdf["kind"], pdf["timeout_at"]):
+            pdf = pdf.dropna(subset=["o"])
+            for o, kind, at in zip(pdf["o"], pdf["kind"], pdf["timeout_at"].fillna(-1)):
                 if kind == "received" and o > hw:
                     held.setdefault(int(o), [False, int(at)])
                 elif kind == "completed":

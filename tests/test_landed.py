@@ -110,6 +110,20 @@ def test_pending_is_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute_pending(records, runs)
 
 
+def test_pending_at_a_change_of_the_clocks(spark):
+    """Zoneless times are compared as they stand: in New York 2:30 and 3:10 of that night would fall on one hour."""
+    night = datetime(2025, 3, 9)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        log = spark.createDataFrame([("a", 0, 1, b"x", night + timedelta(hours=2, minutes=30)), ("a", 0, 2, b"x", night + timedelta(hours=3, minutes=20))], "topic string, partition_id int, record_offset bigint, task_bytes binary, landed_at timestamp_ntz")
+        run = (1, "a", 0, 9, night + timedelta(hours=3, minutes=10), "succeeded", night, 0)
+        rep = spark.createDataFrame([run], "run_id bigint, topic string, from_offset bigint, to_offset bigint, started_at timestamp_ntz, run_state string, reported_at timestamp_ntz, partition_id int")
+        assert [r["record_offset"] for r in ledger.pending_of_reports(log, rep).collect()] == [2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_pending_of_empty_tables(spark):
     log = spark.createDataFrame([("a", 0, 1, None, T0)], "topic string, partition_id int, record_offset bigint, task_bytes binary, landed_at timestamp_ntz")
     rep = spark.createDataFrame([], "run_id bigint, topic string, from_offset bigint, to_offset bigint, started_at timestamp_ntz, run_state string, reported_at timestamp_ntz, partition_id int")
