@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tasklathe.functions.times import zoneless_micros
 from tasklathe.shared import path_exists, written
 
 BLOCK = 4096
@@ -112,7 +113,7 @@ def covered_ranges(done: DataFrame, extent: DataFrame, block: int = BLOCK) -> Da
 def _micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970 of a time column; one without a zone is taken as it stands, whatever the session's zone."""
     if df.schema[col].dataType.simpleString() == "timestamp_ntz":
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
+        return zoneless_micros(F.col(col))
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 

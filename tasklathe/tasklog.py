@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tasklathe.functions.times import zoneless_micros
+
 N_PARTITIONS = 4
 
 
@@ -18,9 +20,7 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = e.withColumn("p", F.pmod("user_id", F.lit(N_PARTITIONS)).cast("int"))
     e = e.withColumn("o", F.row_number().over(Window.partitionBy("p").orderBy("ts", "event_id")) - 1)
-    # a difference of zoneless times doesn't depend on the session's time zone
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    t = F.floor(micros / 1000)
+    t = F.floor(zoneless_micros(F.col("ts")) / 1000)
     return e.select(
         "event_id",
         F.lit("events").alias("topic"),
