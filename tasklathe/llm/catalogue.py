@@ -20,7 +20,7 @@ def _delays(spark: SparkSession, d: str) -> DataFrame:
     sent = F.col("metadata.timestamp_millis")
     return log.select(
         F.col("metadata.source_application_id").alias("source_application_id"),
-        F.date_format(F.timestamp_millis("record_timestamp"), "yyyy-MM-dd").alias("day"),
+        F.date_from_unix_date(F.floor(F.col("record_timestamp") / 86_400_000).cast("int")).cast("string").alias("day"),  # of UTC
         "topic",
         "partition_id",
         "record_offset",
