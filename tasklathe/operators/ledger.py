@@ -154,6 +154,17 @@ def pending_of_reports(records: DataFrame, reports: DataFrame, block: int = BLOC
     return uncovered(records, states_of_reports(reports).filter("item_state = 'done'"), block)
 
 
+def work_items(pending: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pending positions as ledger items, one per block of offsets: item, n, from_offset, to_offset.
+
+    Items are folded before the shuffle and hold at most ``block`` positions,
+    so a partition with most of the work is many items.
+    """
+    b = F.floor(F.col("record_offset") / block)
+    item = F.concat_ws("/", F.col("topic"), F.col("partition_id").cast("string"), b.cast("string"))
+    return pending.groupBy(item.alias("item")).agg(F.count(F.lit(1)).alias("n"), F.min("record_offset").alias("from_offset"), F.max("record_offset").alias("to_offset"))
+
+
 # --- the ledger itself -------------------------------------------------------
 
 EVENTS = "item string, seq bigint, event string, token bigint, owner string, at_ms bigint, lease_until bigint, path string"

@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(layout).select("stream_no", "file_no", "field_path", "change_kind")
 
 
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every change with what it led to: the new path and type (the old type of a removed field)."""
+    return drift.changes(drift.layouts(drift.profiles(table(spark, d, "envelope_files"))))
+
+
 def p1_layouts(spark: SparkSession, d: str) -> DataFrame:
     layout = drift.layouts(drift.profiles(table(spark, d, "envelope_files")))
     paths = F.transform("fields", lambda f: F.struct(F.concat_ws(".", f["parent"], f["name"]).alias("field_path"), f["type"].alias("json_type")))
@@ -71,6 +76,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return ledger.pending_of_reports(records, table(spark, d, "consume_runs"))
 
 
+def p5_work_items(spark: SparkSession, d: str) -> DataFrame:
+    """What is pending as work items for a ledger: blocks of offsets of a partition."""
+    return ledger.work_items(p5_found(spark, d))
+
+
 def p5_run_states(spark: SparkSession, d: str) -> DataFrame:
     return ledger.states_of_reports(table(spark, d, "consume_runs"))
 
@@ -92,7 +102,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d).select(*dedup.split_identifier(F.col("ident"), POSITION), F.col("first").alias("log_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p5_found, p5_run_states, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p5_found, p5_work_items, p5_run_states, p6_found, p6_kept)}
 
 PLACED = r"""
 placed as (
@@ -112,6 +122,19 @@ runs as (
         from consume_runs group by run_id))
 """
 
+PENDING = f"""
+with {PLACED}, {RUNS},
+contents as (select topic, partition_id, record_offset, task_bytes, min(landed_at) as landed from placed
+             where topic is not null and partition_id is not null and record_offset is not null group by all),
+newest as (select topic, partition_id, record_offset, max(landed) as landed from contents group by all),
+covered as (
+  select n.topic, n.partition_id, n.record_offset, any_value(n.landed) as landed, max(r.started_at) as started
+  from newest n left join runs r on r.item_state = 'done' and r.topic = n.topic and r.partition_id = n.partition_id
+       and n.record_offset between r.from_offset and r.to_offset
+  group by n.topic, n.partition_id, n.record_offset)
+select topic, partition_id, record_offset from covered where started is null or landed >= started
+"""
+
 SQL = {
     "p1_layouts": """
 with parsed as (
@@ -159,17 +182,10 @@ from g group by topic, task_key
 with {PLACED}, n as (select topic, task_key, count(*) as n from placed group by all)
 select topic, cast(sum(n) as bigint) as n_rows, max(n) as hottest_key from n group by topic
 """,
-    "p5_found": f"""
-with {PLACED}, {RUNS},
-contents as (select topic, partition_id, record_offset, task_bytes, min(landed_at) as landed from placed
-             where topic is not null and partition_id is not null and record_offset is not null group by all),
-newest as (select topic, partition_id, record_offset, max(landed) as landed from contents group by all),
-covered as (
-  select n.topic, n.partition_id, n.record_offset, any_value(n.landed) as landed, max(r.started_at) as started
-  from newest n left join runs r on r.item_state = 'done' and r.topic = n.topic and r.partition_id = n.partition_id
-       and n.record_offset between r.from_offset and r.to_offset
-  group by n.topic, n.partition_id, n.record_offset)
-select topic, partition_id, record_offset from covered where started is null or landed >= started
+    "p5_found": PENDING,
+    "p5_work_items": f"""
+select topic || '/' || partition_id || '/' || (record_offset // 4096) as item, count(*) as n, min(record_offset) as from_offset, max(record_offset) as to_offset
+from ({PENDING}) group by topic, partition_id, record_offset // 4096
 """,
     "p5_run_states": f"with {RUNS} select * from runs",
     "p6_found": f"""
