@@ -48,14 +48,21 @@ class Subscription:
     topic: str
     properties: Properties = field(default_factory=Properties)
     _extract: Callable[[Column], Column] | None = None
+    _raw: bool = False
     _stages: list[Stage] = field(default_factory=list)
     _keys: list[str] = field(default_factory=list)
     _backoff: int | None = None
     _retry_topic: str | None = None
     _quota: QuotaConfig | None = None
 
-    def consuming(self, extractor: Callable[[Column], Column]) -> Subscription:
-        self._extract = extractor
+    def consuming(self, extractor: Callable[[Column], Column], raw: bool = False) -> Subscription:
+        """How to read a task from its bytes.
+
+        Normally these are the record's task bytes, with the metadata of its
+        header or envelope.  ``raw``: the extractor reads the whole value of
+        records of the origin topic, which carry no metadata.
+        """
+        self._extract, self._raw = extractor, raw
         return self
 
     def then(self, *stages: Stage) -> Subscription:
@@ -89,8 +96,8 @@ class Subscription:
         # keys are dropped on the raw column, before anything is parsed
         kept = filters.ignore_keys(records, "key", [k.encode() for k in keys])
         legacy = self.properties["legacy.parse.fallback.enabled"]
-        if self._retry_topic is not None:
-            tasks = extract.retry_extract(kept, self._retry_topic, self._extract, legacy)
+        if self._raw:
+            tasks = extract.retry_extract(kept, self._retry_topic or f"{self.topic}-retry", self._extract, legacy)
         else:
             tasks = extract.custom_extract(extract.default_extract(kept, legacy), self._extract)
         valid, discarded = extract.split_discarded(tasks)

@@ -39,7 +39,7 @@ def read_stream(spark: SparkSession, topics: list[str], *, servers: str | None =
         return r.options(**(options or {})).load()
     streams = []
     for t in topics:
-        r = spark.readStream.schema(RECORD)
+        r = spark.readStream.schema(RECORD).option("recursiveFileLookup", "true")
         if max_per_trigger:
             r = r.option("maxFilesPerTrigger", max_per_trigger)
         streams.append(r.options(**(options or {})).parquet(f"{folder}/{t}"))
@@ -51,4 +51,4 @@ def read_batch(spark: SparkSession, topics: list[str], *, servers: str | None =
     if servers is not None:
         r = spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("includeHeaders", "true")
         return r.options(**(options or {})).load()
-    return reduce(DataFrame.unionByName, (spark.read.schema(RECORD).options(**(options or {})).parquet(f"{folder}/{t}") for t in topics))
+    return reduce(DataFrame.unionByName, (spark.read.schema(RECORD).option("recursiveFileLookup", "true").options(**(options or {})).parquet(f"{folder}/{t}") for t in topics))

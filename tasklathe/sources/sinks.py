@@ -4,20 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklathe.operators.extract import HEADERS_TYPE
+from tasklathe.operators.partitioner import log_partition
+
 Writer = Callable[[DataFrame, int], None]
 
 
-def folder_writer(folder: str, topics: list[str]) -> Writer:
-    """Writes each topic's rows of a micro-batch to ``folder``/<topic>/batch=<id>; a batch written again replaces itself."""
+def folder_writer(folder: str, topics: list[str], n_partitions: int = 1) -> Writer:
+    """Writes each topic's records (topic, key, value, headers) of a micro-batch to ``folder``/<topic>/b-<batch id>.
+
+    Partitions follow from the keys as a producer's would, null keys go to
+    partition 0; offsets go up with the batch and, in it, the order of key and
+    value.  A batch written again replaces itself.
+    """
 
     def write(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         try:
             for t in topics:
-                df.filter(F.col("topic") == t).write.mode("overwrite").parquet(f"{folder}/{t}/batch={batch_id}")
+                rows = df.filter(F.col("topic") == t)
+                headers = F.col("headers") if "headers" in df.columns else F.array().cast(HEADERS_TYPE)
+                part = F.coalesce(log_partition(F.col("key"), n_partitions), F.lit(0)).cast("int")
+                placed = rows.select("topic", part.alias("partition"), "key", "value", headers.alias("headers"))
+                at = F.row_number().over(Window.partitionBy("partition").orderBy("key", "value"))
+                placed.select(
+                    "topic",
+                    "partition",
+                    (F.lit(batch_id).cast("bigint") * 1_000_000_000 + at).alias("offset"),
+                    F.current_timestamp().alias("timestamp"),
+                    F.lit(0).alias("timestampType"),
+                    "key",
+                    "value",
+                    "headers",
+                ).write.mode("overwrite").parquet(f"{folder}/{t}/b-{batch_id}")
         finally:
             df.unpersist()
 

@@ -283,6 +283,50 @@ class Completion(StatefulProcessor):
         pass
 
 
+class TokenBucket(StatefulProcessor):
+    """Waits of a limiter per partition: (p, o, wait) in milliseconds. Rows have p, o, t; each takes one permit.
+
+    State is the time of the next free permit and the stored ones; the waits
+    equal the batch form's closed form.  A rate of 0 lets nothing pass, a
+    negative one or one above a million never waits.
+    """
+
+    schema = "p int, o bigint, wait double"
+    names = ["p", "o", "wait"]
+
+    def __init__(self, rate: float, burst_seconds: float = 1.0):
+        self.rate, self.burst = rate, burst_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("bucket", "next_free double, stored double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(rows, "o")
+        if self.rate == 0 or not len(pdf):
+            yield pd.DataFrame(columns=self.names)
+            return
+        if self.rate < 0 or self.rate > 1_000_000:
+            yield pd.DataFrame([(key[0], int(o), 0.0) for o in pdf["o"]], columns=self.names)
+            return
+        each = 1000.0 / self.rate
+        free, stored = self.state.get() if self.state.exists() else (float(pdf["t"].iloc[0]), 0.0)
+        out = []
+        for o, t in zip(pdf["o"], pdf["t"]):
+            t = float(t)
+            if t > free:
+                stored = min(self.burst * self.rate, stored + (t - free) / each)
+                free = t
+            out.append((key[0], int(o), max(0.0, free - t)))
+            used = min(1.0, stored)
+            stored -= used
+            free += (1.0 - used) * each
+        self.state.update((free, stored))
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
 def run_stateful(df: DataFrame, by: list[str], processor: StatefulProcessor, *, event_time: bool = True, mode: str = "Append") -> DataFrame:
     """``df`` through a processor, grouped by ``by``; its ``schema`` is the result's."""
     return df.groupBy(*by).transformWithStateInPandas(processor, outputStructType=processor.schema, outputMode=mode, timeMode="EventTime" if event_time else "ProcessingTime")

@@ -431,5 +431,9 @@ def test_subscription(spark, rows):
     back = r.retries.select("topic", F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).cast("bigint").alias("timestamp"), "key", "value", "headers")
     once_more = sub.run(back, now=F.lit(3000)).retries.first()
     assert once_more["metadata"]["retry_count"] == 2
+    # metadata of the origin topic's headers is kept, unless the extractor reads raw values
+    stamp = lambda s: s.run(recs).processed.select("metadata.source_application_id").distinct().collect()[0][0]
+    assert stamp(Subscription("s", "events").consuming(extract.json_task("k int")).enable_retry(5)) == "app"
+    assert stamp(Subscription("s", "events").consuming(extract.json_task("k int"), raw=True).enable_retry(5)) == ""
     with pytest.raises(ValueError, match="enabled"):
         Subscription("s", "events").consuming(extract.json_task("k int")).then(lambda d: d.withColumn("retry", F.lit(True))).run(recs)
