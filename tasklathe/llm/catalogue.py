@@ -48,6 +48,12 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.multi_select(every, ["source_application_id", "grain", *parts], QUANTILES).withColumnRenamed("value", "delay_ms")
 
 
+def p2_folds(spark: SparkSession, d: str) -> DataFrame:
+    """The form that is kept and combined: delays of an application, day and partition folded to values of 7 leading bits."""
+    placed = with_position(_delays(spark, d))
+    return percentiles.fold_values(placed, ["source_application_id", "day", "topic", "partition_id"], F.col("delay"), bits=BITS)
+
+
 def p2_combined_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles from folds of bounded size per application, day and partition, combined afterwards; error at most 1/128 of the value."""
     placed = with_position(_delays(spark, d))
@@ -105,6 +111,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     p2_percentiles,
     p2_combined_percentiles,
+    p2_folds,
     p4_found,
     p4_counts,
     p4_estimates,
@@ -133,6 +140,13 @@ select {group}, q as quantile, cast(value as bigint) as delay_ms, n from (
 """
 
 
+_COARSE = f"""
+with {PLACED}, {_DELAYS}, s as (select *, greatest(length(bin(abs(delay))) - {BITS}, 0) as k from delays),
+coarse as (select source_application_id, day, topic, partition_id, (case when delay < 0 then -1 else 1 end)
+  * (((abs(delay) >> k) << k) + case when k > 0 then 1::bigint << (k - 1) else 0 end) as delay from s)
+"""
+
+
 _COUNTS = """
 with v as (
   select 'task_key' as field_name, decode(task_key) as item from task_log
@@ -159,11 +173,8 @@ select source_application_id, case when no_day = 1 and no_part = 1 then 'all' wh
          else 'day and partition' end as grain, day, topic, partition_id, unnest([0.5, 0.9, 0.99, 0.999]::double[]) as quantile, unnest(v) as delay_ms, n
 from g
 """,
-        "p2_combined_percentiles": f"""
-with {PLACED}, {_DELAYS}, s as (select *, greatest(length(bin(abs(delay))) - {BITS}, 0) as k from delays),
-coarse as (select source_application_id, (case when delay < 0 then -1 else 1 end)
-  * (((abs(delay) >> k) << k) + case when k > 0 then 1::bigint << (k - 1) else 0 end) as delay from s)
-""" + _quantiles("source_application_id", "coarse"),
+        "p2_combined_percentiles": _COARSE + _quantiles("source_application_id", "coarse"),
+        "p2_folds": _COARSE + "select source_application_id, day, topic, partition_id, delay as value, count(*) as n from coarse group by all",
         "p4_found": f"select field_name, item from ({_COUNTS})",
         "p4_counts": _COUNTS,
     }
