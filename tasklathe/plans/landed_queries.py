@@ -87,7 +87,7 @@ def p5_run_states(spark: SparkSession, d: str) -> DataFrame:
 
 def _once(spark: SparkSession, d: str) -> DataFrame:
     log = positions(table(spark, d, "task_log"), "log_id", "batch_id").filter("topic is not null and partition_id is not null and record_offset is not null")
-    return dedup.deliver_once(log, ["topic", "partition_id", "record_offset"], "log_id", "batch_id")
+    return dedup.deliver_once(log, ["topic", "partition_id", "record_offset"], "log_id", "batch_id", merge_at=3)
 
 
 POSITION = {"topic": "string", "partition_id": "int", "record_offset": "bigint"}
