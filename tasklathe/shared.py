@@ -1,6 +1,7 @@
 """Tables in the shared folder, used where lineage is cut.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
+The folder is the one the session names in ``spark.checkpoint.dir`` (or, without
+it, the one its context was given by ``setCheckpointDir``).  Only a
 session on a local master that names none gets a temporary folder of its own
 (tests); on a cluster a missing setting is an error, because a machine-local
 folder would not outlive the machine.
@@ -20,10 +21,10 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    sc = spark.sparkContext
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
