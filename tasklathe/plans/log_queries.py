@@ -574,6 +574,14 @@ def trace_propagation(spark, d):
     return checks.propagated(log, log.filter("event_type <> 'error'"), "trace")
 
 
+@query(", a as (select distinct 'trace-' || p || '-' || o as trace from tlog), b as (select distinct 'trace-' || p || '-' || o as trace from tlog where event_type <> 'error')"
+       " select trace from a where trace not in (select trace from b)")
+def trace_propagation_all(spark, d):
+    """Open traces of all partitions. An offset repeats over partitions, so the id holds both; ``trace_propagation`` and its SQL keep to partition 0."""
+    log = task_log(spark, d).withColumn("trace", F.concat_ws("-", F.lit("trace"), F.col("p").cast("string"), F.col("o").cast("string")))
+    return checks.propagated(log, log.filter("event_type <> 'error'"), "trace")
+
+
 # --- metrics -------------------------------------------------------------------------
 
 
