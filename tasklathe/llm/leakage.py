@@ -343,7 +343,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, ran
 
     ``docs``: doc_id, text; ``items``: item_id, passage.  ``exact=False`` keeps
     every pair with a window at the cosine or above (paraphrases), with run 0
-    where no run of 12 words was aligned.  Passages of under five words and
+    where no run of 12 words was aligned; windows with fewer than three words
+    of the passages are not compared.  Passages of under five words and
     null texts match nothing.
     """
     spark = docs.sparkSession
@@ -394,12 +395,16 @@ def leaked(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return find_leaks(docs, items, **how).select("doc_id", "item_id").distinct()
 
 
-def paraphrases(docs: DataFrame, items: DataFrame, cosine: float = 0.75) -> DataFrame:
-    """Pairs that are close in the latent space but hold no exact run, with the checks that tell a paraphrase from a chance likeness.
+def paraphrases(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """Pairs with a close window but no exact run, with the checks that tell a paraphrase from a chance likeness.
 
+    The cosine only picks candidates and is as low as for exact runs: a
+    passage with every second word replaced has windows at about 0.5.  Most
+    candidates are chance likenesses; all are returned with their checks.
     lcs_share: longest common subsequence of the document's words and the
     passage's, per word of the passage; answer_found: the item's answer occurs
-    in the document as whole words.
+    in the document as whole words; paraphrase: half of the passage's words
+    (rounded down) occur in their order.
     """
     near = find_leaks(docs, items, cosine=cosine, exact=False).filter("run = 0")
     near = near.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"))
@@ -407,14 +412,18 @@ def paraphrases(docs: DataFrame, items: DataFrame, cosine: float = 0.75) -> Data
 
     def check(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdfs:
-            share, seen = [], []
+            known = {t: words(t) for c in ("text", "passage", "answer") for t in p[c].unique()}  # a document has several candidates
+            inside = {t: f" {' '.join(known[t])} " for t in p["text"].unique()}
+            share, seen, half = [], [], []
             for text, passage, answer in zip(p["text"], p["passage"], p["answer"]):
-                d, q, a = words(text), words(passage), words(answer)
-                share.append(lcs_length(q, d) / max(1, len(q)))
-                seen.append(bool(a) and f" {' '.join(a)} " in f" {' '.join(d)} ")
-            yield pd.DataFrame({"doc_id": p["doc_id"], "item_id": p["item_id"], "cosine": p["cosine"], "lcs_share": share, "answer_found": seen})
-
-    return full.mapInPandas(check, "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_found boolean")
+                q, a = known[passage], known[answer]
+                common = lcs_length(q, known[text])
+                share.append(common / max(1, len(q)))
+                half.append(common >= max(1, len(q) // 2))
+                seen.append(bool(a) and f" {' '.join(a)} " in inside[text])
+            yield pd.DataFrame({"doc_id": p["doc_id"], "item_id": p["item_id"], "cosine": p["cosine"], "lcs_share": share, "answer_found": seen, "paraphrase": half})
+
+    return full.mapInPandas(check, "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_found boolean, paraphrase boolean")
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

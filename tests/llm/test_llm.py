@@ -254,6 +254,15 @@ def test_paraphrases(spark):
     assert [(r["doc_id"], r["item_id"], r["answer_found"]) for r in got] == [(1, 1, True)] and got[0]["lcs_share"] > 0.5
 
 
+def test_paraphrase_of_every_second_word(spark):
+    p = VOCAB[:24]
+    items = spark.createDataFrame([(1, " ".join(p), "nothing")], "item_id bigint, passage string, answer string")
+    docs = [(1, " ".join(w if i % 2 else f"other{i}" for i, w in enumerate(p))), (2, " ".join(p[:4])), (3, "no word of it at all here")]
+    got = {r["doc_id"]: r for r in leakage.paraphrases(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert got[1]["lcs_share"] == 0.5 and got[1]["paraphrase"] and got[1]["cosine"] < 0.75
+    assert 3 not in got and not any(r["paraphrase"] for d, r in got.items() if d != 1)
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
