@@ -11,15 +11,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklathe.config import Properties
-from tasklathe.operators import extract, filters, retry
+from tasklathe.operators import extract, filters, quota, retry
 from tasklathe.operators.quota import QuotaConfig
+from tasklathe.operators.scan import running
 from tasklathe.sources.log import subscribed
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -27,12 +28,17 @@ Stage = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Result:
-    """What a subscription makes of records: the processed tasks, what was discarded, failed rows, and records to send again."""
+    """What a subscription makes of records: the processed tasks, what was discarded, failed rows, and records to send again.
+
+    shaped: with a quota, the records of bursts to send on, as they came
+    (topic, key, value, headers); they are not processed here.
+    """
 
     processed: DataFrame
     discarded: DataFrame
     failed: DataFrame
     retries: DataFrame | None
+    shaped: DataFrame | None = None
 
 
 @dataclass
@@ -88,13 +94,43 @@ class Subscription:
     def topics(self) -> list[str]:
         return subscribed(self.topic, self._retry_topic is not None, [self._quota.target(self.topic)] if self._quota else None)
 
+    def quota(self) -> QuotaConfig | None:
+        """The quota in force: its rate, or where it has none that of the properties; None if unlimited."""
+        if self._quota is None:
+            return None
+        config = self._quota if self._quota.rate >= 0 else replace(self._quota, rate=self.properties["per.key.quota.processing.rate"])
+        return config if config.rate >= 0 else None
+
+    def _split_bursts(self, kept: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """What complies with the quota, and the bursts.
+
+        Keyed records of the origin topic are counted, by arrival; a record
+        arrives no earlier than the ones before it in its partition.
+        """
+        config = self.quota()
+        if config is None:
+            return kept, None
+        columns = kept.columns
+        arrived = running(kept.filter((F.col("topic") == self.topic) & F.col("key").isNotNull()), ["partition"], "offset", {"_at": ("max", F.col("timestamp"))})
+        timed = quota.windowed_key_stat(arrived.filter("_at is not null"), "partition", "key", "_at", "offset", config.window_ms)
+        routed = quota.shaped(quota.decided(timed, self.topic, "topic", "key", config), "topic", config, self.topic)
+        violates = F.col("usage.type") == quota.VIOLATE
+        others = kept.filter(~F.col("topic").eqNullSafe(self.topic) | F.col("key").isNull())
+        passed = others.unionByName(arrived.filter("_at is null").select(columns)).unionByName(routed.filter(~violates).select(columns))
+        return passed, routed.filter(violates).select(F.col("target").alias("topic"), "key", "value", "headers")
+
     def run(self, records: DataFrame, now: Column | None = None) -> Result:
-        """The plan over records (topic, partition, offset, timestamp in ms, key, value, headers)."""
+        """The plan over records (topic, partition, offset, timestamp in ms, key, value, headers).
+
+        Key rates of a quota are those of these records alone, so give it the
+        whole log, not a micro-batch.
+        """
         if self._extract is None:
             raise ValueError("say what to consume first")
         keys = [*self._keys, *self.properties["ignore.keys"]]
         # keys are dropped on the raw column, before anything is parsed
         kept = filters.ignore_keys(records, "key", [k.encode() for k in keys])
+        kept, bursts = self._split_bursts(kept)
         legacy = self.properties["legacy.parse.fallback.enabled"]
         if self._raw:
             tasks = extract.retry_extract(kept, self._retry_topic or f"{self.topic}-retry", self._extract, legacy)
@@ -114,7 +150,7 @@ class Subscription:
             if self._retry_topic is not None:
                 wanted = wanted.withColumn("topic", F.lit(self.topic))
             again = retry.retry_records(wanted, at, self._backoff, self._retry_topic, self.properties["retry.task.in.legacy.format"])
-        return Result(out, discarded, failed, again)
+        return Result(out, discarded, failed, again, bursts)
 
 
 @dataclass

@@ -20,11 +20,18 @@ def start(subscription: Subscription, records: DataFrame, checkpoint: str, on_ta
     again.  Both must be safe to repeat for the same id: a batch that died
     half-way is run again whole, so that nothing is lost and each effect happens
     once where the writer replaces its output.  Settings are read per batch.
+
+    A quota in force is refused: its windows would begin anew with every batch.
     """
     if "timestamp" in records.columns and dict(records.dtypes)["timestamp"] != "bigint":
         records = records.withColumn("timestamp", F.unix_millis("timestamp"))
 
+    if subscription.quota() is not None:
+        raise ValueError("a quota needs the whole log; key rates aren't kept from one micro-batch to the next")
+
     def batch(df: DataFrame, batch_id: int) -> None:
+        if subscription.quota() is not None:  # settings may have changed
+            raise ValueError("a quota was set while the subscription runs")
         r = subscription.run(df)
         on_tasks(r.processed, batch_id)
         if r.retries is not None and retry_writer is not None:

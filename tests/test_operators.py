@@ -437,3 +437,40 @@ def test_subscription(spark, rows):
     assert stamp(Subscription("s", "events").consuming(extract.json_task("k int"), raw=True).enable_retry(5)) == ""
     with pytest.raises(ValueError, match="enabled"):
         Subscription("s", "events").consuming(extract.json_task("k int")).then(lambda d: d.withColumn("retry", F.lit(True))).run(recs)
+
+
+def test_subscription_shapes_bursts(spark):
+    from tasklathe.streaming.subscription import start
+
+    rnd = random.Random(3)
+    recs, at = [], {0: 0, 1: 0}
+    for o in range(300):
+        for p in at:
+            at[p] += rnd.randrange(60)
+            topic = "events-retry" if o % 11 == 0 else "events"
+            key = rnd.choice([b"hot", b"hot", b"hot", b"cold", b"rare%d" % rnd.randrange(9), None])
+            recs.append((topic, p, o, at[p] - (5 if o % 7 == 0 else 0), key, json.dumps({"k": 1000 * p + o}).encode()))
+    # record by record, as a partition's consumer counts them
+    want, state = set(), {}
+    for topic, p, o, t, key, _ in sorted(recs, key=lambda r: (r[1], r[2])):
+        if topic != "events" or key is None:
+            continue
+        s = state.setdefault(p, {"at": t, "w": t, "prev": None, "n": {}, "before": {}})
+        s["at"] = now = max(s["at"], t)
+        if now - s["w"] >= 1000:
+            s.update(prev=s["w"], w=now, before=s["n"], n={})
+        s["n"][key] = s["n"].get(key, 0) + 1
+        near = s["prev"] is not None and s["prev"] >= now - 2000
+        n, seen = s["n"][key] + (s["before"].get(key, 0) if near else 0), now - (s["prev"] if near else s["w"])
+        if seen >= 1000 and n / seen * 1000 >= 10:
+            want.add(1000 * p + o)
+    df = spark.createDataFrame(recs, "topic string, partition int, offset bigint, timestamp bigint, key binary, value binary").withColumn("headers", F.expr("cast(array() as array<struct<key: string, value: binary>>)"))
+    sub = lambda c: Subscription("sub", "events").consuming(extract.json_task("k int")).enable_quota(c)
+    r = sub(quota.QuotaConfig(10, 1000)).run(df)
+    there = [(x["topic"], json.loads(x["value"])["k"]) for x in r.shaped.collect()]
+    assert {t for t, _ in there} == {"events-shaping"} and sorted(k for _, k in there) == sorted(want) and 20 < len(want) < 400
+    assert sorted(x[0] for x in r.processed.select("task.k").collect()) == sorted({1000 * p + o for _, p, o, *_ in recs} - want)
+    free = sub(quota.QuotaConfig(-1, 1000)).run(df)
+    assert free.shaped is None and free.processed.count() == len(recs)
+    with pytest.raises(ValueError, match="whole log"):
+        start(sub(quota.QuotaConfig(10)), df, "unused", lambda d, i: None)
