@@ -93,13 +93,13 @@ def value_facts(v: object) -> tuple[list[str], set[str]]:
     if isinstance(v, (int, float)):
         return [str(v)], _number_shape(v)
     if isinstance(v, str):
-        return [v[:200]], _text_shape(v)
+        return [v], _text_shape(v)
     if isinstance(v, dict):
-        return [str(x)[:200] for x in v.values() if isinstance(x, (str, int)) and not isinstance(x, bool)][:8], {f"key:{k}" for k in list(v)[:32]}
+        return [str(x) for x in v.values() if isinstance(x, (str, int)) and not isinstance(x, bool)], {f"key:{k}" for k in v}
     if v and all(isinstance(x, int) and 0 <= x < 256 for x in v):
         text = bytes(v).decode("utf-8", "replace")
-        return [text[:200]], _text_shape(text) if text.lstrip()[:1] == "{" else {"bytes"}
-    return [str(x)[:200] for x in v[:8]], {"list"}
+        return [text], _text_shape(text) if text.lstrip()[:1] == "{" else {"bytes"}
+    return [str(x) for x in v], {"list"}
 
 
 class _Field:

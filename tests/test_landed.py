@@ -291,3 +291,13 @@ def test_matching_is_best():
 def test_names(a, b, high):
     s = drift.name_similarity(a, b)
     assert s >= high if high else s < 0.3
+
+
+def test_value_facts_are_whole():
+    a = {f"field{i}": f"value {i}" for i in range(40)}
+    b = dict(reversed(a.items()))
+    assert set(drift.value_facts(a)[0]) == set(drift.value_facts(b)[0]) == set(a.values())
+    assert drift.value_facts(a)[1] == drift.value_facts(b)[1] == {f"key:{k}" for k in a}
+    assert drift.value_facts([f"item {i}" for i in range(20)])[0] == [f"item {i}" for i in range(20)]
+    for v in ("x" * 300, list(b"x" * 300)):
+        assert drift.value_facts(v)[0] == ["x" * 300]
