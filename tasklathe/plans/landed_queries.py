@@ -63,12 +63,20 @@ def p3_per_key(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks a topic's keys are cut into; their sizes show the balance."""
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
     log = positions(table(spark, d, "task_log"), "task_key", "log_id")
     s = keychunks.chunk_states(log, ["topic", "task_key"], ["log_id"], tails=["log_id"])
-    per = s.groupBy("topic").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("largest"), F.max("row_to").alias("hottest_key"))
-    return per.select("topic", "n_rows", "hottest_key")
+    return s.groupBy("topic").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("largest"), F.max("row_to").alias("hottest_key"))
+
+
+def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a topic and of its hottest key, added up from the chunks; ``p3_chunk_sizes`` has the chunks themselves."""
+    return _chunks(spark, d).select("topic", "n_rows", "hottest_key")
+
+
+def p3_chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Number of chunks a topic's keys are cut into, and the largest chunk: at most CHUNK_ROWS, however long a key. Both depend on the partitions."""
+    return _chunks(spark, d).select("topic", "n_rows", "hottest_key", "n_chunks", "largest")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +110,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d).select(*dedup.split_identifier(F.col("ident"), POSITION), F.col("first").alias("log_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p5_found, p5_work_items, p5_run_states, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p3_chunk_sizes, p5_found, p5_work_items, p5_run_states, p6_found, p6_kept)}
 
 PLACED = r"""
 placed as (

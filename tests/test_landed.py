@@ -1,6 +1,7 @@
 """Problems 1, 3, 5 and 6 on small fixtures, against brute force, with the cases named in the docstrings."""
 
 import json
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -301,3 +302,20 @@ def test_value_facts_are_whole():
     assert drift.value_facts([f"item {i}" for i in range(20)])[0] == [f"item {i}" for i in range(20)]
     for v in ("x" * 300, list(b"x" * 300)):
         assert drift.value_facts(v)[0] == ["x" * 300]
+
+
+def test_chunks_of_a_hot_key_are_bounded(spark):
+    df = spark.range(3000).select(F.lit("t").alias("topic"), F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("o"))
+    sizes = keychunks.chunk_states(df, ["topic", "k"], ["o"], chunk_rows=50).select("k", "n_rows").collect()
+    hot = [r["n_rows"] for r in sizes if r["k"] == "hot"]
+    assert sum(hot) == 2700 and max(hot) == 50 and sum(r["n_rows"] for r in sizes) == 3000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_chunk_sizes_query(spark, rows):
+    from tasklathe.plans.landed_queries import QUERIES
+
+    got = QUERIES["p3_chunk_sizes"](spark, "/root/testdata/sf0.001")
+    assert rows(got.select("topic", "n_rows", "hottest_key")) == rows(QUERIES["p3_chunks"](spark, "/root/testdata/sf0.001"))
+    for r in got.collect():
+        assert 0 < r["largest"] <= min(r["n_rows"], keychunks.CHUNK_ROWS) and r["n_chunks"] * r["largest"] >= r["n_rows"]
