@@ -9,14 +9,23 @@ import regex
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Variation_Selector}ᅟᅠㅤﾠ]+")
 _HYPHEN_END = regex.compile(r"(?<=\p{L})[-‐‑][ \t]*\r?\n[ \t]*(?:>+[ \t]*)?(?=\p{L})")
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,2000}?-->", regex.S)
-_LINK = regex.compile(r"\]\([^()\s]{1,400}\)")
+# A tag is told by its form, however long: a name, then attributes. Possessive, so that each place is tried once.
+_TAG = regex.compile(r"""</?+[A-Za-z][\w:-]*+(?:\s++[^\s<>="'/]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))?+)*+\s*+/?+>""")
+_LINK = regex.compile(r"\]\([^()\s]++\)")
 _ENTITY = regex.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _MARK = regex.compile(r"\p{M}+")
 _INNER = regex.compile(r"(?<=\w)[*_~`]+(?=\w)|(?<=\p{L})['’](?=\p{L})")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+def _without_comments(text: str) -> str:
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out.append(text[at:a])
+        at = b + 3
+    return " ".join([*out, text[at:]])
+
+
 def words(text: str | None) -> list[str]:
     """The words of ``text`` in order; [] for null, empty or wordless text."""
     if not text:
@@ -27,6 +36,8 @@ def words(text: str | None) -> list[str]:
         text = _INVISIBLE.sub("", text)
     if "\n" in text:
         text = _HYPHEN_END.sub("", text)
+    if "<!--" in text:
+        text = _without_comments(text)
     if "<" in text:
         text = _TAG.sub(lambda m: "" if regex.match(r"</?(?:b|i|em|strong|u|s|span|font|a|mark|sub|sup|small|wbr)\b", m[0], regex.I) else " ", text)
     if "](" in text:
