@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tasklathe.landed import positions, table, task_id, with_position
 from tasklathe.operators import dedup, drift, keychunks, ledger
+from tasklathe.shared import new_path
 
 HOT_SHARE = 0.05
 
@@ -79,14 +80,37 @@ def p3_chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("topic", "n_rows", "hottest_key", "n_chunks", "largest")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _pending(spark: SparkSession, d: str) -> DataFrame:
     records = positions(table(spark, d, "task_log"), "task_bytes", "landed_at")
     return ledger.pending_of_reports(records, table(spark, d, "consume_runs"))
 
 
+RUN_AT = 1_800_000_000_000  # when the runs of these queries take place
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of one incremental run: planned as items of a ledger, leased, written, and read back through the ledger."""
+    led = ledger.process_pending(_pending(spark, d), "p5", RUN_AT)
+    got = led.outputs()
+    return _pending(spark, d).limit(0) if got is None else got.select("topic", "partition_id", "record_offset")
+
+
 def p5_work_items(spark: SparkSession, d: str) -> DataFrame:
     """What is pending as work items for a ledger: blocks of offsets of a partition."""
-    return ledger.work_items(p5_found(spark, d))
+    return ledger.work_items(_pending(spark, d))
+
+
+def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger after a worker stopped: its leases ran out, another worker took half of the items and finished them, and the late results were refused."""
+    pending = ledger.work_items(_pending(spark, d))
+    led = ledger.Ledger(spark, new_path(spark, "ledger"))
+    led.plan(pending)
+    n = led.states(RUN_AT).count()
+    stopped = led.lease("stopped", RUN_AT, 1000)
+    other = led.lease("other", RUN_AT + 5000, 1000, limit=-(-n // 2))
+    led.finish(stopped.join(other.select("item"), "item", "left_semi"), "stopped", RUN_AT + 5500)
+    led.finish(other, "other", RUN_AT + 6000)
+    return led.states(RUN_AT + 7000).select("item", "state", "token", "owner")
 
 
 def p5_run_states(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +134,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d).select(*dedup.split_identifier(F.col("ident"), POSITION), F.col("first").alias("log_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p3_chunk_sizes, p5_found, p5_work_items, p5_run_states, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p3_chunk_sizes, p5_found, p5_work_items, p5_ledger, p5_run_states, p6_found, p6_kept)}
 
 PLACED = r"""
 placed as (
@@ -194,6 +218,12 @@ select topic, cast(sum(n) as bigint) as n_rows, max(n) as hottest_key from n gro
     "p5_work_items": f"""
 select topic || '/' || partition_id || '/' || (record_offset // 4096) as item, count(*) as n, min(record_offset) as from_offset, max(record_offset) as to_offset
 from ({PENDING}) group by topic, partition_id, record_offset // 4096
+""",
+    "p5_ledger": f"""
+with i as (select distinct topic || '/' || partition_id || '/' || (record_offset // 4096) as item from ({PENDING})),
+r as (select item, row_number() over (order by item) as place, count(*) over () as n from i)
+select item, case when place * 2 <= n + 1 then 'done' else 'pending' end as state, cast(case when place * 2 <= n + 1 then 2 else 1 end as bigint) as token,
+       case when place * 2 <= n + 1 then 'other' end as owner from r
 """,
     "p5_run_states": f"with {RUNS} select * from runs",
     "p6_found": f"""

@@ -10,6 +10,7 @@ folder would not outlive the machine.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -70,7 +71,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that is there as a whole or not at all; an existing one is an error."""
+    """A small file that is there as a whole or not at all; of several writers of one path, all but one get FileExistsError.
+
+    It is written aside and then put in place in one step that fails where the
+    path exists: a hard link on a local or mounted file system, elsewhere the
+    rename of the file system (which must refuse an existing target, as that of
+    HDFS does).
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -78,7 +85,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(temp, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target) or not fs.rename(temp, target):
+    if target.toUri().getScheme() in (None, "file"):
+        try:
+            os.link(temp.toUri().getPath(), target.toUri().getPath())
+        finally:
+            fs.delete(temp, False)
+    elif fs.exists(target) or not fs.rename(temp, target):
         fs.delete(temp, False)
         raise FileExistsError(path)
 

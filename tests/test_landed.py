@@ -134,30 +134,66 @@ def test_pending_of_empty_tables(spark):
 
 def test_ledger_fences_and_survives_failures(spark, tmp_path):
     lg = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
-    lg.plan(spark.createDataFrame([("i1",), ("i2",), ("i2",)], "item string"))
+    lg.plan(spark.createDataFrame([("i1",), ("i2",), ("i2",), (None,)], "item string"))
     lg.plan(spark.createDataFrame([("i1",)], "item string"))
-    a = {r["item"]: r["token"] for r in lg.lease("slow", 1000, 100).collect()}
-    assert a == {"i1": 1, "i2": 1}
+    tokens = lambda leases: {r["item"]: r["token"] for r in leases.collect()}
+    slow = lg.lease("slow's", 1000, 100)
+    assert tokens(slow) == {"i1": 1, "i2": 1}
     assert lg.lease("other", 1050, 100).count() == 0  # leased
-    b = {r["item"]: r["token"] for r in lg.lease("quick", 2000, 100).collect()}  # expired leases are pending again
-    assert b == {"i1": 2, "i2": 2}
-    assert not lg.finish("i1", 1, "slow", 2010)  # fenced off
-    assert lg.finish("i1", 2, "quick", 2020)
+    quick = lg.lease("quick", 2000, 100)  # expired leases are pending again
+    assert tokens(quick) == {"i1": 2, "i2": 2}
+    assert lg.finish(slow, "slow's", 2010) == 0  # fenced off
+    assert lg.finish(quick.filter("item = 'i1'"), "quick", 2020) == 1
+    assert lg.finish(slow, "slow's", 2025) == 0 and lg.finish(slow, "slow's", 2026, ok=False) == 0
     assert {(r["item"], r["state"], r["token"]) for r in lg.states(2030).collect()} == {("i1", "done", 2), ("i2", "leased", 2)}
 
-    calls = []
-
-    def work(item):
-        calls.append(item)
-        if len(calls) == 1:
-            raise RuntimeError("lost")
-        return spark.createDataFrame([(item, len(calls))], "item string, n int")
-
-    assert lg.run("w", work, 5000) == []
-    assert lg.run("w", work, 6000) == ["i2"]
-    assert lg.run("w", work, 7000) == []  # nothing is done twice
-    paths = list(lg.output())
-    assert len(paths) == 2 and spark.read.parquet(next(p for p in paths if "t4" in p)).collect()[0]["item"] == "i2"
+    def broken(leases):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        lg.run_all("w", broken, 5000)
+    assert lg.run_all("w", lambda leases: leases.withColumn("n", F.lit(7)), 6000) == 1
+    assert lg.run_all("w", lambda leases: leases, 7000) == 0  # nothing is done twice
+    assert [(r["item"], r["n"]) for r in lg.outputs().collect()] == [("i2", 7)]
+    lg.reopen(spark.createDataFrame([("i2",), ("i9",)], "item string"))
+    assert lg.run_all("w", lambda leases: leases.withColumn("n", F.lit(8)), 8000) == 1
+    assert sorted((r["item"], r["n"]) for r in lg.outputs().collect()) == [("i2", 7), ("i2", 8)]
+    assert lg.outputs().groupBy("item").agg(F.max_by("n", "lease")).collect()[0][1] == 8
+
+
+def test_late_done_never_counts(spark):
+    rows = [("i", 1, "leased", 1, "A", 0, 10, None), ("i", 2, "leased", 2, "B", 20, 30, None), ("i", 3, "done", 2, "B", 25, None, "out/2"), ("i", 4, "done", 1, "A", 26, None, "out/1"), ("j", 5, "done", 1, "A", 0, None, "out/3")]
+    events = spark.createDataFrame(rows, "item string, seq bigint, event string, token bigint, owner string, at_ms bigint, lease_until bigint, path string")
+    assert [tuple(r) for r in ledger.fold(events, 40).collect()] == [("i", "done", 2, "B", "out/2")]
+    early = events.filter("seq <> 3")  # the stale result comes before that of the newer lease
+    assert [tuple(r)[:3] for r in ledger.fold(early, 25).collect()] == [("i", "leased", 2)]
+    assert [tuple(r)[:3] for r in ledger.fold(early, 40).collect()] == [("i", "pending", 2)]
+
+
+def test_two_leasers_at_once(spark, tmp_path):
+    lg, other = (ledger.Ledger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    lg.plan(spark.range(6).selectExpr("cast(id as string) item"))
+    taken = []
+    version = lg._version
+
+    def slipped():  # another worker commits between the look at the ledger and the commit
+        v = version()
+        if not taken:
+            taken.append({r["item"] for r in other.lease("second", 0, 100, limit=4).collect()})
+        return v
+
+    lg._version = slipped
+    mine = {r["item"] for r in lg.lease("first", 0, 100).collect()}
+    assert len(taken[0]) == 4 and mine == {str(i) for i in range(6)} - taken[0]
+
+
+def test_incremental_runs_repeat_nothing(spark, tmp_path):
+    at = lambda n: spark.range(n).selectExpr("'t' topic", "0 partition_id", "id record_offset")
+    lg = ledger.process_pending(at(40), "a", 0, f"file://{tmp_path}/l", block=16)
+    assert lg.outputs().count() == 40 and lg.states(0).filter("state = 'done'").count() == 3
+    lg = ledger.process_pending(at(50).filter("record_offset >= 40"), "a", 9, f"file://{tmp_path}/l", block=16)
+    assert sorted(r[0] for r in lg.outputs().select("record_offset").collect()) == list(range(50))
+    assert ledger.process_pending(at(0), "a", 0).outputs() is None
 
 
 # --- problem 6 ---------------------------------------------------------------
