@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,13 @@ class Compaction(StatefulProcessor):
 
 
 class Batching(StatefulProcessor):
-    """Batches of a scope: (p, tick, batch_no, size, first_offset, last_offset, full), emitted by the arrival after them or by the tick's end."""
+    """Batches of a scope: (p, tick, batch_no, size, first_offset, last_offset, full), emitted by the arrival after them or by the tick's end.
+
+    Numbers of a tick go on where a late row finds it closed; they are kept for
+    the KEPT ticks before the newest one.
+    """
+
+    KEPT = 1000
 
     schema = "p int, tick bigint, batch_no bigint, size bigint, first_offset bigint, last_offset bigint, full boolean"
     names = ["p", "tick", "batch_no", "size", "first_offset", "last_offset", "full"]
@@ -100,6 +107,14 @@ class Batching(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("batch", "tick bigint, batch_no bigint, size bigint, first bigint, last bigint")
+        self.numbers = handle.getMapState("numbers", "tick bigint", "next bigint")
+
+    def _next(self, tick: int) -> int:
+        if self.numbers.containsKey((tick,)):
+            return self.numbers.getValue((tick,))[0]
+        for (old,) in [k for k in self.numbers.keys() if k[0] <= tick - self.KEPT]:
+            self.numbers.removeKey((old,))
+        return 0
 
     def _row(self, key: Any, s: tuple) -> tuple:
         return (key[0], s[0], s[1], s[2], s[3], s[4], s[2] == self.capacity)
@@ -110,11 +125,11 @@ class Batching(StatefulProcessor):
         out = []
         for t, o in zip(pdf["t"], pdf["o"]):
             tick, o = int(t) // self.linger, int(o)
-            if s is not None and (tick != s[0] or s[2] >= self.capacity):
-                out.append(self._row(key, s))
-                s = [tick, s[1] + 1 if tick == s[0] else 0, 1, o, o]
-            elif s is None:
-                s = [tick, 0, 1, o, o]
+            if s is None or tick != s[0] or s[2] >= self.capacity:
+                if s is not None:
+                    out.append(self._row(key, s))
+                    self.numbers.updateValue((s[0],), (s[1] + 1,))
+                s = [tick, self._next(tick), 1, o, o]
             else:
                 s[2], s[4] = s[2] + 1, o
         for at in list(self.handle.listTimers()):
@@ -127,7 +142,9 @@ class Batching(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
         if self.state.exists():
-            out.append(self._row(key, self.state.get()))
+            s = self.state.get()
+            out.append(self._row(key, s))
+            self.numbers.updateValue((s[0],), (s[1] + 1,))
             self.state.clear()
         yield pd.DataFrame(out, columns=self.names)
 
@@ -240,44 +257,68 @@ class KeyStat(StatefulProcessor):
 class Completion(StatefulProcessor):
     """High watermark of a partition from a stream of (p, o, kind, timeout_at): kind is received or completed.
 
-    Emits (p, high_watermark, pending) per micro-batch.  A received record
-    whose ``timeout_at`` (-1: none) has passed when it is at the head is given
-    up.  State is the pending records, which back-pressure bounds.
+    Emits (p, high_watermark, pending) per micro-batch and when a timeout runs
+    out.  A received record whose ``timeout_at`` (-1: none) has passed when it is
+    at the head is given up, or with ``extend_ms`` looked at again that much
+    later.  A completion that comes before its record waits for it, and nothing
+    beyond it is passed meanwhile.  State is the pending records, which
+    back-pressure bounds.
     """
 
     schema = "p int, high_watermark bigint, pending bigint"
+    names = ["p", "high_watermark", "pending"]
+
+    def __init__(self, extend_ms: int | None = None):
+        self.extend_ms = extend_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.mark = handle.getValueState("mark", "hw bigint")
-        self.open = handle.getListState("open", "o bigint, done boolean, timeout_at bigint")
+        self.open = handle.getListState("open", "o bigint, received boolean, done boolean, timeout_at bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hw = self.mark.get()[0] if self.mark.exists() else -1
-        held = {r[0]: [r[1], r[2]] for r in self.open.get()} if self.open.exists() else {}
-        early = set()
-        for pdf in rows:
-            pdf = pdf.dropna(subset=["o"])
-            for o, kind, at in zip(pdf["o"], pdf["kind"], pdf["timeout_at"].fillna(-1)):
-                if kind == "received" and o > hw:
-                    held.setdefault(int(o), [False, int(at)])
-                elif kind == "completed":
-                    early.add(int(o))
-        now = timerValues.getCurrentWatermarkInMs()
-        for o in early:
-            if o in held:
-                held[o][0] = True
+    def _load(self) -> tuple[int, dict[int, list]]:
+        held = {r[0]: [r[1], r[2], r[3]] for r in self.open.get()} if self.open.exists() else {}
+        return (self.mark.get()[0] if self.mark.exists() else -1), held
+
+    def _advance(self, key: Any, hw: int, held: dict[int, list], now: int) -> pd.DataFrame:
         for o in sorted(held):
-            done, at = held[o]
-            if not done and not (0 <= at <= now):
+            received, done, at = held[o]
+            over = received and not done and 0 <= at <= now
+            if over and self.extend_ms is not None:
+                held[o][2], over = now + self.extend_ms, False
+            if not received or not (done or over):
                 break
             hw = o
             del held[o]
         self.mark.update((hw,))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
         if held:
-            self.open.put([(o, d, a) for o, (d, a) in sorted(held.items())])
+            self.open.put([(o, *x) for o, x in sorted(held.items())])
+            received, done, at = held[min(held)]
+            if received and not done and at >= 0:
+                self.handle.registerTimer(max(at, now + 1))
         else:
             self.open.clear()
-        yield pd.DataFrame([(key[0], hw, len(held))], columns=["p", "high_watermark", "pending"])
+        return pd.DataFrame([(key[0], hw, sum(x[0] for x in held.values()))], columns=self.names)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        hw, held = self._load()
+        for pdf in rows:
+            pdf = pdf.dropna(subset=["o"])
+            for o, kind, at in zip(pdf["o"].astype("int64").tolist(), pdf["kind"], pdf["timeout_at"].fillna(-1).astype("int64").tolist()):
+                if o <= hw or kind not in ("received", "completed"):
+                    continue
+                x = held.setdefault(o, [False, False, -1])
+                if kind == "completed":
+                    x[1] = True
+                elif not x[0]:
+                    x[0], x[2] = True, at
+        yield self._advance(key, hw, held, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hw, held = self._load()
+        yield self._advance(key, hw, held, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:
         pass
@@ -286,19 +327,19 @@ class Completion(StatefulProcessor):
 class TokenBucket(StatefulProcessor):
     """Waits of a limiter per partition: (p, o, wait) in milliseconds. Rows have p, o, t; each takes one permit.
 
-    State is the time of the next free permit and the stored ones; the waits
-    equal the batch form's closed form.  A rate of 0 lets nothing pass, a
-    negative one or one above a million never waits.
+    The batch form's closed form, carried on: state is the time of the first
+    row, the permits taken since, and the greatest backlog any row left.  A rate
+    of 0 lets nothing pass, a negative one or one above a million never waits.
     """
 
     schema = "p int, o bigint, wait double"
     names = ["p", "o", "wait"]
 
     def __init__(self, rate: float, burst_seconds: float = 1.0):
-        self.rate, self.burst = rate, burst_seconds
+        self.rate, self.burst = rate, burst_seconds * 1000.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "next_free double, stored double")
+        self.state = handle.getValueState("bucket", "first double, taken bigint, backlog double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, "o")
@@ -308,20 +349,14 @@ class TokenBucket(StatefulProcessor):
         if self.rate < 0 or self.rate > 1_000_000:
             yield pd.DataFrame([(key[0], int(o), 0.0) for o in pdf["o"]], columns=self.names)
             return
-        each = 1000.0 / self.rate
-        free, stored = self.state.get() if self.state.exists() else (float(pdf["t"].iloc[0]), 0.0)
-        out = []
-        for o, t in zip(pdf["o"], pdf["t"]):
-            t = float(t)
-            if t > free:
-                stored = min(self.burst * self.rate, stored + (t - free) / each)
-                free = t
-            out.append((key[0], int(o), max(0.0, free - t)))
-            used = min(1.0, stored)
-            stored -= used
-            free += (1.0 - used) * each
-        self.state.update((free, stored))
-        yield pd.DataFrame(out, columns=self.names)
+        t = pdf["t"].to_numpy(np.float64)
+        first, taken, backlog = self.state.get() if self.state.exists() else (float(t[0]), 0, -1e18)
+        since = t - first
+        due = (taken + np.arange(len(t))) * (1000.0 / self.rate)  # when permits without a stock would come
+        left = np.maximum.accumulate(np.append(backlog, since - self.burst - due))
+        wait = np.maximum(0.0, np.maximum(due, due + left[:-1]) - since)
+        self.state.update((first, int(taken + len(t)), float(left[-1])))
+        yield pd.DataFrame({"p": key[0], "o": pdf["o"].astype("int64"), "wait": wait})
 
     def close(self) -> None:
         pass

@@ -7,20 +7,23 @@ same mapping for the SQL oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklathe.functions.times import zoneless_micros
+from tasklathe.operators.scan import running
 
 N_PARTITIONS = 4
+NUMBERING_BLOCK = 600_000_000  # microseconds of arrival that one task numbers at a time
 
 
 def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, topic, p, o, k, t, event_type, value, props, d, completed, scheduled."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = e.withColumn("p", F.pmod("user_id", F.lit(N_PARTITIONS)).cast("int"))
-    e = e.withColumn("o", F.row_number().over(Window.partitionBy("p").orderBy("ts", "event_id")) - 1)
-    t = F.floor(zoneless_micros(F.col("ts")) / 1000)
+    e = e.withColumn("_us", zoneless_micros(F.col("ts")))
+    e = running(e, ["p"], ["_us", "event_id"], {"o": ("sum", F.lit(1))}, block=NUMBERING_BLOCK).withColumn("o", F.col("o") - 1)
+    t = F.floor(F.col("_us") / 1000)
     return e.select(
         "event_id",
         F.lit("events").alias("topic"),

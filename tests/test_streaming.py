@@ -171,3 +171,111 @@ def test_supervisor(spark, tmp_path):
     finally:
         sup.close()
     assert sum(got) == 12  # nothing twice, nothing lost
+
+
+class _State:
+    """State of one key, kept in the test."""
+
+    def __init__(self):
+        self.v, self.m = None, {}
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    put = update
+
+    def clear(self):
+        self.v = None
+
+    def containsKey(self, k):
+        return k in self.m
+
+    def getValue(self, k):
+        return self.m[k]
+
+    def updateValue(self, k, v):
+        self.m[k] = v
+
+    def removeKey(self, k):
+        del self.m[k]
+
+    def keys(self):
+        return list(self.m)
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, *a):
+        return _State()
+
+    getListState = getMapState = getValueState
+
+    def listTimers(self):
+        return sorted(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _At:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def _feed(processor, rows, now=0):
+    import pandas as pd
+
+    out = pd.concat(list(processor.handleInputRows((0,), iter([pd.DataFrame(rows)]), _At(now))))
+    return [tuple(r) for r in out.itertuples(index=False)]
+
+
+def _event(o, kind, at=-1):
+    return {"p": 0, "o": o, "t": 0, "kind": kind, "timeout_at": at}
+
+
+def test_completion_that_comes_early():
+    c = P.Completion()
+    c.init(_Handle())
+    assert _feed(c, [_event(1, "completed")]) == [(0, -1, 0)]
+    assert _feed(c, [_event(0, "received"), _event(0, "completed")]) == [(0, 0, 0)]
+    assert _feed(c, [_event(1, "received"), _event(2, "received")]) == [(0, 1, 1)]
+    assert _feed(c, [_event(1, "completed"), _event(2, "completed"), _event(5, "completed")]) == [(0, 2, 0)]
+    assert _feed(c, [_event(4, "received"), _event(4, "completed"), _event(6, "received"), _event(6, "completed")]) == [(0, 4, 1)]  # 5 isn't passed
+    assert _feed(c, [_event(5, "received")]) == [(0, 6, 0)]
+
+
+def test_timeout_without_new_rows():
+    for extend, want in ((None, [(0, 3, 0)]), (50, [(0, 1, 2)])):
+        h = _Handle()
+        c = P.Completion(extend)
+        c.init(h)
+        assert _feed(c, [_event(o, "received", 100 if o == 2 else -1) for o in (1, 2, 3)] + [_event(1, "completed"), _event(3, "completed")]) == [(0, 1, 2)]
+        assert h.timers == {100}
+        got = [tuple(r) for f in c.handleExpiredTimer((0,), _At(100), _At(100)) for r in f.itertuples(index=False)]
+        assert got == want and h.timers == (set() if extend is None else {150})
+
+
+def test_late_row_of_a_closed_tick():
+    b = P.Batching(2, 1000)
+    b.init(_Handle())
+    row = lambda o, t: {"p": 0, "o": o, "t": t}
+    assert _feed(b, [row(0, 10), row(1, 20), row(2, 30)]) == [(0, 0, 0, 2, 0, 1, True)]
+    got = [tuple(r) for f in b.handleExpiredTimer((0,), _At(1000), _At(1000)) for r in f.itertuples(index=False)]
+    assert got == [(0, 0, 1, 1, 2, 2, False)]
+    assert _feed(b, [row(3, 40), row(4, 1500), row(5, 50), row(6, 1600)]) == [(0, 0, 2, 1, 3, 3, False), (0, 1, 0, 1, 4, 4, False), (0, 0, 3, 1, 5, 5, False)]
