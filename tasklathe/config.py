@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -9,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tasklathe.operators.scan import running
+
 
 @dataclass(frozen=True)
 class Definition:
@@ -138,6 +141,27 @@ def effective(supplied: DataFrame, spark: SparkSession) -> DataFrame:
     return defaults.join(best, "name", "left").select("name", F.coalesce("value", "default_value").alias("value"), F.col("value").isNotNull().alias("supplied"))
 
 
+def changes(df: DataFrame, group: list[str], order: str, value: str, definition: Definition) -> DataFrame:
+    """Values set one after the other, as the changes that listeners hear: group, order, old, new.
+
+    An integer property: values out of its bounds (or null) are refused and
+    change nothing, an equal value is no change, the first old value is the
+    default.
+    """
+    ok = F.col(value).isNotNull()
+    ok = ok & (F.col(value) >= definition.least) if definition.least is not None else ok
+    ok = ok & (F.col(value) <= definition.greatest) if definition.greatest is not None else ok
+    r = running(df.filter(ok).select(*group, order, F.col(value).cast("bigint").alias("new")), group, order, {"_old": ("prev", F.col("new"))})
+    r = r.withColumn("old", F.coalesce("_old", F.lit(definition.default).cast("bigint")))
+    return r.filter("old <> new").select(*group, order, "old", "new")
+
+
+def schema_rows(spark: SparkSession, draft: str = "2020-12") -> DataFrame:
+    """The JSON schema's properties as a table: name, type, minimum, maximum, default_value (as JSON)."""
+    rows = [(n, p["type"], p.get("minimum"), p.get("maximum"), json.dumps(p["default"])) for n, p in json_schema(draft)["properties"].items()]
+    return spark.createDataFrame(rows, "name string, type string, minimum bigint, maximum bigint, default_value string")
+
+
 # The JSON-schema drafts that can be written.
 DRAFTS = {
     "draft-07": "http://json-schema.org/draft-07/schema#",

@@ -60,6 +60,13 @@ def to_records(df: DataFrame, topic: str, key: Column, task_bytes: Column, metad
     )
 
 
+def put_or_error(df: DataFrame, topic: str, key: Column, task_bytes: Column, metadata: Column, partition: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records to write, rows that can't be put with their ``error``), instead of failing all for a key that isn't printable ASCII."""
+    ok = is_ascii_key(key)
+    error = F.concat(F.lit("illegal character in key: "), key)
+    return to_records(df.filter(ok), topic, key, task_bytes, metadata, partition), df.filter(~ok).withColumn("error", error)
+
+
 def put_result_id(topic: Column, partition: Column, offset: Column) -> Column:
     return F.concat_ws("-", topic, partition.cast("string"), offset.cast("string"))
 

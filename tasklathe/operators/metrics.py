@@ -62,6 +62,32 @@ def throughput(df: DataFrame, seq: Column, warmup: int, start: str, end: str, la
     return df.filter(seq >= warmup).agg(F.count(F.lit(1)).alias("tasks"), (F.count(F.lit(1)) / span * 1000).alias("throughput"), F.avg(latency).alias("avg_latency"), F.max(latency).alias("max_latency"))
 
 
-def retry_counts(df: DataFrame, group: list[str], retries: Column) -> DataFrame:
-    """Tasks queued for retry and the distribution of their counts."""
-    return df.filter(retries > 0).groupBy(*group).agg(F.count(F.lit(1)).alias("queued"), F.sum(retries).alias("retries"), F.max(retries).alias("most"))
+def retry_counts(df: DataFrame, group: list[str], retries: Column, failed: Column | None = None) -> DataFrame:
+    """Tasks queued for retry and the distribution of their counts; with ``failed`` (could it not be queued?) the number of those too."""
+    extra = [] if failed is None else [F.count_if(F.coalesce(failed, F.lit(False))).alias("queueing_failed")]
+    return df.filter(retries > 0).groupBy(*group).agg(F.count(F.lit(1)).alias("queued"), F.sum(retries).alias("retries"), F.max(retries).alias("most"), *extra)
+
+
+def shaping_counts(df: DataFrame, group: list[str], violates: Column, failed: Column) -> DataFrame:
+    """Tasks of bursts that were sent on, and those that couldn't be; null flags count as no."""
+    v, f = (F.coalesce(c, F.lit(False)) for c in (violates, failed))
+    return df.groupBy(*group).agg(F.count_if(v & ~f).alias("queued"), F.count_if(v & f).alias("queueing_failed"))
+
+
+def starved_time(served: DataFrame, lane: list[str], order: str) -> DataFrame:
+    """Time a lane had nothing to do between two tasks: lane, time, times. ``served`` has start and finish (see ``schedule.fifo_service``)."""
+    r = running(served, lane, order, {"_done": ("prev", F.col("finish"))})
+    gap = F.col("start") - F.col("_done")
+    return r.groupBy(*lane).agg(F.coalesce(F.sum(F.when(gap > 0, gap)), F.lit(0)).cast("bigint").alias("time"), F.count_if(gap > 0).alias("times"))
+
+
+# Sections of a subscription's loop and the entries of a query's progress they correspond to.
+SECTIONS = {"poll": ("latestOffset", "getBatch"), "records": ("addBatch",), "reload": ("queryPlanning",), "pause": ("triggerWait",), "commit": ("walCommit", "commitOffsets")}
+
+
+def section_durations(progress: DataFrame, group: list[str], durations: str = "durationMs") -> DataFrame:
+    """Milliseconds per section from progress rows with a map of durations: group, section, count, total, max. Missing entries count as 0."""
+    at = lambda k: F.coalesce(F.try_element_at(F.col(durations), F.lit(k)), F.lit(0))
+    parts = F.array(*(F.struct(F.lit(s).alias("section"), sum((at(k) for k in ks[1:]), at(ks[0])).cast("bigint").alias("ms")) for s, ks in SECTIONS.items()))
+    rows = progress.select(*group, F.inline(parts))
+    return rows.groupBy(*group, "section").agg(F.count(F.lit(1)).alias("count"), F.sum("ms").alias("total"), F.max("ms").alias("max"))

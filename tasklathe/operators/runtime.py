@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
+from threading import Lock, local
 from typing import Any, Protocol
 
 import pandas as pd
@@ -55,6 +56,53 @@ def per_worker(name: str, factory: Callable[[], Processor]) -> Callable[[], Proc
     return make
 
 
+class _PerPartition:
+    """Hands each row to the processor of its partition."""
+
+    def __init__(self, column: str, factory: Callable[[], Processor]):
+        self.column, self.factory, self.made = column, factory, {}
+        self.lock = Lock()
+
+    def process(self, row: dict[str, Any]):
+        p = row[self.column]
+        with self.lock:
+            if p not in self.made:
+                self.made[p] = self.factory()
+        return self.made[p].process(row)
+
+    def close(self) -> None:
+        for x in self.made.values():
+            x.close()
+
+
+def per_partition(column: str, factory: Callable[[], Processor]) -> Callable[[], Processor]:
+    """A factory of processors that live as long as a task's work on one partition of the log, named in ``column``: one per task and partition."""
+    return lambda: _PerPartition(column, factory)
+
+
+def per_thread(factory: Callable[[], Processor]) -> Callable[[], Processor]:
+    """A factory of processors one per thread of a task; each is used by its thread alone, and closed with the task."""
+
+    def make() -> Processor:
+        held, every, lock = local(), [], Lock()
+
+        class Own:
+            def process(self, row: dict[str, Any]):
+                if not hasattr(held, "it"):
+                    held.it = factory()
+                    with lock:
+                        every.append(held.it)
+                return held.it.process(row)
+
+            def close(self) -> None:
+                for x in every:
+                    x.close()
+
+        return Own()
+
+    return make
+
+
 def process(df: DataFrame, factory: Callable[[], Processor], schema: str, key: str, order: list[str], *, lanes: int | None = None, threads: int = 1, timeout_ms: int = -1) -> DataFrame:
     """Rows that the processor hands on, with ``completion`` and ``error``.
 

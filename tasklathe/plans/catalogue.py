@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tasklathe.plans import landed_queries, log_queries
+from tasklathe.plans import landed_queries, log_queries, operation_queries
 
 
 def queries() -> dict:
-    return log_queries.QUERIES | landed_queries.QUERIES
+    return log_queries.QUERIES | landed_queries.QUERIES  # operation_queries registers its own with those of the log
 
 
 def oracle_sql() -> dict[str, str]:

@@ -233,6 +233,13 @@ def _decided(spark, d):
     return quota.decided(s, "events", "topic", "key", QUOTA)
 
 
+def _decided_scope(spark, d):
+    """Decisions where every third row came on the shaping topic."""
+    s = _stat(spark, d).withColumn("key", F.when(F.col("k") != "5", F.col("k")))
+    s = s.withColumn("topic", F.when(F.col("o") % 3 == 0, "events-shaping").otherwise("events"))
+    return quota.decided(s, "events", "topic", "key", QUOTA)
+
+
 @query(_STAT + "select p, o, type, round(case when type = 'VIOLATE' then observed end, 9) as rate from verdict")
 def quota_decision(spark, d):
     return _decided(spark, d).select("p", "o", "usage.type", F.round("usage.rate", 9).alias("rate"))
@@ -567,17 +574,10 @@ def ordering(spark, d):
     return checks.order_problems(rows, "task_key", "start_ns", "o")
 
 
-@query(", a as (select distinct 'trace-' || o as trace from tlog where p = 0), b as (select distinct 'trace-' || o as trace from tlog where p = 0 and event_type <> 'error')"
-       " select trace from a where trace not in (select trace from b)")
-def trace_propagation(spark, d):
-    log = task_log(spark, d).filter("p = 0").withColumn("trace", F.concat(F.lit("trace-"), F.col("o").cast("string")))
-    return checks.propagated(log, log.filter("event_type <> 'error'"), "trace")
-
-
 @query(", a as (select distinct 'trace-' || p || '-' || o as trace from tlog), b as (select distinct 'trace-' || p || '-' || o as trace from tlog where event_type <> 'error')"
        " select trace from a where trace not in (select trace from b)")
-def trace_propagation_all(spark, d):
-    """Open traces of all partitions. An offset repeats over partitions, so the id holds both; ``trace_propagation`` and its SQL keep to partition 0."""
+def trace_propagation(spark, d):
+    """Traces left open, of all partitions. An offset repeats over partitions, so the id holds both."""
     log = task_log(spark, d).withColumn("trace", F.concat_ws("-", F.lit("trace"), F.col("p").cast("string"), F.col("o").cast("string")))
     return checks.propagated(log, log.filter("event_type <> 'error'"), "trace")
 
@@ -683,9 +683,16 @@ def logging_context(spark, d):
 _SUPPLIED = [("partition.concurrency", 0, "8"), ("partition.concurrency", 1, "4"), ("max.pending.records", 2, "500"), ("ignore.keys", 1, None), ("processing.rate.per.partition", 3, "100"), ("processing.rate.per.partition", 2, "50")]
 
 
-@query("select * from (values " + ", ".join(
-    f"('{x.name}', '{dict((('partition.concurrency', '8'), ('max.pending.records', '500'), ('processing.rate.per.partition', '50'))).get(x.name, str(list(x.default) if x.kind == 'strings' else x.default).lower())}', {x.name in ('partition.concurrency', 'max.pending.records', 'processing.rate.per.partition')})"
-    for x in config.DEFINITIONS) + ") as v(name, value, supplied)")
+@query("""
+, s as (select * from (values ('partition.concurrency', 0, '8'), ('partition.concurrency', 1, '4'), ('max.pending.records', 2, '500'), ('ignore.keys', 1, null),
+  ('processing.rate.per.partition', 3, '100'), ('processing.rate.per.partition', 2, '50')) v(name, priority, value)),
+defaults as (select * from (values ('ignore.keys', '[]'), ('processing.rate.per.partition', '-1'), ('partition.concurrency', '1'), ('max.pending.records', '10000'),
+  ('commit.interval.ms', '1000'), ('group.rebalance.timeout.ms', '1000'), ('processing.shutdown.timeout.ms', '0'), ('logging.mdc.enabled', 'true'),
+  ('client.metrics.micrometer.bound', 'false'), ('deferred.complete.timeout.ms', '-1'), ('per.key.quota.processing.rate', '-1'),
+  ('processor.threads.termination.timeout.ms', '9223372036854775807'), ('retry.task.in.legacy.format', 'false'), ('legacy.parse.fallback.enabled', 'false')) v(name, value)),
+best as (select name, arg_min(value, priority) as value from s where value is not null group by name)
+select d.name, coalesce(b.value, d.value) as value, b.value is not null as supplied from defaults d left join best b on b.name = d.name
+""")
 def property_precedence(spark, d):
     return config.effective(spark.createDataFrame(_SUPPLIED, "name string, priority int, value string"), spark)
 

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tasklathe.config import Properties
 from tasklathe.settings_file import SettingsFile
+from tasklathe.streaming.listener import INITIALIZING, REBALANCING, RUNNING, SHUTTING_DOWN, TERMINATED, States
 
 
 class Supervisor:
@@ -20,8 +21,10 @@ class Supervisor:
     until the rate changes.
     """
 
-    def __init__(self, start: Callable[[Properties], StreamingQuery], properties: Properties, settings: SettingsFile | None = None):
+    def __init__(self, start: Callable[[Properties], StreamingQuery], properties: Properties, settings: SettingsFile | None = None, on_state: Callable[[str], None] | None = None):
         self.start, self.properties, self.settings = start, properties, settings
+        self.states = States(on_state)
+        self.states.to(INITIALIZING)
         self.restarts = 0
         self.query: StreamingQuery | None = None
 
@@ -45,10 +48,14 @@ class Supervisor:
         if self.properties.reload_requested:
             self.properties.reload_requested = False
             if self.query is not None:
+                self.states.to(REBALANCING)
                 self._drain()
                 self.restarts += 1
         if self.query is None:
             self.query = self.start(self.properties)
+            self.states.to(RUNNING)
 
     def close(self) -> None:
+        self.states.to(SHUTTING_DOWN)
         self._drain()
+        self.states.to(TERMINATED)

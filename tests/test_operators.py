@@ -474,3 +474,107 @@ def test_subscription_shapes_bursts(spark):
     assert free.shaped is None and free.processed.count() == len(recs)
     with pytest.raises(ValueError, match="whole log"):
         start(sub(quota.QuotaConfig(10)), df, "unused", lambda d, i: None)
+
+
+def test_scopes_of_processors(spark, rows):
+    from tasklathe.operators import runtime
+
+    class Counting:
+        made = 0
+
+        def __init__(self):
+            type(self).made += 1
+            self.no, self.n = type(self).made, 0
+
+        def process(self, row):
+            self.n += 1
+            return {"p": row["p"], "no": self.no, "n": self.n}
+
+        def close(self):
+            pass
+
+    df = spark.range(60).selectExpr("cast(id % 3 as int) p", "cast(id % 5 as string) k", "id o")
+    got = runtime.process(df, runtime.per_partition("p", Counting), "p int, no int, n int", "k", ["o"], lanes=1).collect()
+    assert len({(r["p"], r["no"]) for r in got}) == len({r["no"] for r in got}) == 3 and max(r["n"] for r in got) == 20
+    got = runtime.process(df, runtime.per_thread(Counting), "p int, no int, n int", "k", ["o"], lanes=1, threads=1).collect()
+    assert {r["no"] for r in got} == {1} and max(r["n"] for r in got) == 60
+
+
+def test_states_of_a_subscription():
+    from tasklathe.config import Properties
+    from tasklathe.streaming.listener import RUNNING, States
+    from tasklathe.streaming.supervisor import Supervisor
+
+    class Query:
+        isActive = True
+
+        def processAllAvailable(self):
+            pass
+
+        def stop(self):
+            pass
+
+    told = []
+    p = Properties({"partition.concurrency": 2})
+    s = Supervisor(lambda properties: Query(), p, on_state=told.append)
+    s.tick()
+    p.dynamic("partition.concurrency").set(4)
+    s.tick()
+    s.tick()
+    s.close()
+    assert told == ["INITIALIZING", "RUNNING", "REBALANCING", "RUNNING", "SHUTTING_DOWN", "TERMINATED"] and s.restarts == 1
+    assert not s.states.to(RUNNING) and not States().to(RUNNING)
+
+
+def test_client_metrics_are_bound_on_demand():
+    from types import SimpleNamespace
+
+    from tasklathe.config import Properties
+    from tasklathe.streaming.listener import Progress
+
+    source = SimpleNamespace(description="log", metrics={"lag": "7"}, numInputRows=3, processedRowsPerSecond=1.5)
+    event = SimpleNamespace(progress=SimpleNamespace(id="q", durationMs={"addBatch": 40, "walCommit": 5}, numInputRows=3, sources=[source]))
+    times = iter([10.0, 10.5])
+    on = Progress(properties=Properties({"client.metrics.micrometer.bound": True}), clock=lambda: next(times))
+    on.onQueryProgress(event)
+    on.onQueryProgress(event)
+    assert on.client["q", "log", "lag"] == "7" and on.client["q", "log", "numInputRows"] == "3"
+    assert on.durations["q"]["records"] == 80 and on.durations["q"]["commit"] == 10 and on.durations["q"]["pause"] == 455
+    off = Progress(properties=Properties())
+    off.onQueryProgress(event)
+    assert not off.client
+
+
+def test_cadence_and_capacity_are_brute_force(spark, rows):
+    import random
+
+    from tasklathe.operators import commit
+
+    r = random.Random(3)
+    data = [(p, o, o * 10, None if r.random() < 0.03 else o * 10 + r.randrange(200)) for p in (0, None) for o in range(150)]
+    df = spark.createDataFrame(data, "p int, o bigint, at bigint, done bigint")
+    marks = {}
+    for p in (0, None):
+        own = [d for d in data if d[0] == p]
+        for tick in range(50, 3000, 50):
+            n = 0
+            for d in own:
+                if d[3] is None or d[3] >= tick:
+                    break
+                n = d[1] + 1
+            if n and n != marks.get((p, tick - 50), (0,))[0]:
+                marks[p, tick] = (n, True)
+            else:
+                marks[p, tick] = (n, False)
+    got = {(x["p"], x["tick"]): x["commit"] for x in commit.cadence(df, ["p"], "o", F.col("done"), 50).collect()}
+    assert got == {k: n for k, (n, moved) in marks.items() if moved}
+    held = {}
+    for p in (0, None):
+        own = [d for d in data if d[0] == p]
+        for i, d in enumerate(own):
+            head = 0
+            while head < i and own[head][3] is not None and own[head][3] <= d[2]:
+                head += 1
+            held[p, d[1]] = i + 1 - head
+    got = {(x["p"], x["o"]): (x["pending"], x["over"]) for x in commit.over_capacity(df, ["p"], "o", F.col("at"), F.col("done"), 10, 2).collect()}
+    assert got == {k: (n, n > 12) for k, n in held.items()}

@@ -28,9 +28,9 @@ def test_traces_of_all_partitions(spark, tmp_path):
     # two rows a partition, so that every offset comes in all of them; an error is a trace left open
     made = [(i, i % 4, at + dt.timedelta(seconds=i), "error" if i in (1, 2, 7) else "view", 1.0, "{}") for i in range(8)]
     spark.createDataFrame(made, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
-    got = sorted(r[0] for r in entry_module.queries()["trace_propagation_all"](spark, str(tmp_path)).collect())
+    got = sorted(r[0] for r in entry_module.queries()["trace_propagation"](spark, str(tmp_path)).collect())
     assert got == ["trace-1-0", "trace-2-0", "trace-3-1"]
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
     db.execute(f"create view events as from read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    assert sorted(r[0] for r in db.execute(entry_module.oracle_sql()["trace_propagation_all"]).fetchall()) == got
+    assert sorted(r[0] for r in db.execute(entry_module.oracle_sql()["trace_propagation"]).fetchall()) == got
