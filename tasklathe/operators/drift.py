@@ -11,10 +11,10 @@
    bipartite matching between the fields that vanished and those that came up,
    weighted by values, shapes, types and names.
 4. ``unified`` follows the renames through each stream and reads all lines
-   into one table.
+   into one table; ``rejects`` has the lines it can't read.
 
-Lines that don't parse as a JSON object, empty and null lines are skipped and
-counted.  A file without a parseable line has no layout and is passed over.
+Lines that don't parse as a JSON object, empty and null lines are counted per
+file.  A file without a parseable line has no layout and is passed over.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
@@ -43,7 +43,8 @@ TYPES = ("string", "integer", "number", "boolean", "object", "array")
 
 PROFILE = "stream_no bigint, file_no int, salt int, parent string, name string, n array<bigint>, vals array<bigint>, shapes array<string>"
 
-_INTEGER = re.compile(r"-?\d{1,18}")
+_INTEGER = re.compile(r"-?[0-9]+")
+SHORT_SHAPE = 24  # characters up to which a shape is its own name; a longer one goes by its hash
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _HEX = re.compile(r"[0-9a-f]{6,}")
 _DIGIT = re.compile(r"\d")
@@ -66,7 +67,7 @@ def _text_shape(s: str) -> set[str]:
     if _ISO.match(s):
         return {"time"}
     if _INTEGER.fullmatch(s):
-        return _number_shape(int(s))
+        return _digits_shape(s)
     t = s
     if len(s) >= 12 and _BASE64.fullmatch(s):
         try:
@@ -77,13 +78,21 @@ def _text_shape(s: str) -> set[str]:
         return {f"key:{k}" for k in _KEY.findall(t)} or {"record"}
     if _HEX.fullmatch(s):
         return {f"hex{len(s)}"}
-    return {"words" if not _DIGIT.search(s) else _MIXED.sub("9", s)[:24]}
+    if not _DIGIT.search(s):
+        return {"words"}
+    shape = _MIXED.sub("9", s)
+    return {shape if len(shape) <= SHORT_SHAPE else f"long{_hash(shape):x}"}
+
+
+def _digits_shape(s: str) -> set[str]:
+    n = len(s.lstrip("-").lstrip("0")) or 1
+    return {"time" if n == 13 else f"num{n}"}
 
 
 def _number_shape(v: float) -> set[str]:
     if v != v or v in (float("inf"), float("-inf")):
         return {"num0"}
-    return {"time"} if 10**12 <= abs(v) < 10**13 else {f"num{len(str(abs(int(v))))}"}
+    return _digits_shape(f"{int(v):x}" if abs(v) >= 1e300 else str(int(v)))
 
 
 def value_facts(v: object) -> tuple[list[str], set[str]]:
@@ -91,7 +100,7 @@ def value_facts(v: object) -> tuple[list[str], set[str]]:
     if isinstance(v, bool):
         return [f"b{v}"], {"bool"}
     if isinstance(v, (int, float)):
-        return [str(v)], _number_shape(v)
+        return [f"{v:x}" if isinstance(v, int) and abs(v) >= 10**300 else str(v)], _number_shape(v)
     if isinstance(v, str):
         return [v], _text_shape(v)
     if isinstance(v, dict):
@@ -142,13 +151,51 @@ def _clean(s: str) -> str:
 
 def parse_object(line: str | None) -> dict | None:
     """The JSON object on a line; None for anything else, however broken or deep."""
+    if not line:
+        return None
     try:
-        o = json.loads(line) if line else None
-    except (ValueError, RecursionError):
+        o = json.loads(line)
+    except RecursionError:
         return None
+    except ValueError:
+        try:  # numbers of thousands of digits are read as floats
+            o = json.loads(line, parse_int=float)
+        except (ValueError, RecursionError):
+            return None
     return o if isinstance(o, dict) else None
 
 
+def rejects(lines: DataFrame) -> DataFrame:
+    """Lines that ``unified`` leaves out: the columns stream_no, file_no, line_no, line and reason.
+
+    reason: null, empty, no object (JSON of another kind), broken, or no place
+    (a line without stream or file number, whatever it holds).
+    """
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            why = []
+            for s, f, line in zip(pdf["stream_no"], pdf["file_no"], pdf["line"]):
+                if s != s or s is None or f != f or f is None:
+                    why.append("no place")
+                elif line is None:
+                    why.append("null")
+                elif not line.strip():
+                    why.append("empty")
+                elif parse_object(line) is not None:
+                    why.append(None)
+                else:
+                    try:
+                        json.loads(line)
+                        why.append("no object")
+                    except (ValueError, RecursionError):
+                        why.append("broken")
+            got = pdf.assign(reason=why)
+            yield got[got["reason"].notna()].astype({"stream_no": "Int64", "file_no": "Int64", "line_no": "Int64"})
+
+    return lines.select("stream_no", "file_no", "line_no", "line").mapInPandas(run, "stream_no bigint, file_no int, line_no int, line string, reason string")
+
+
 def _partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark.taskcontext import TaskContext
 
@@ -370,8 +417,27 @@ def best_matching(scores: list[list[float]]) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
-def _renames(gone: list[dict], came: list[dict]) -> list[tuple[dict, dict]]:
+def _alone(f: dict, fields: list[dict]) -> bool:
+    """Has no other field of the layout shapes like this one's?"""
+    return all(g is f or _shape_likeness(f["shapes"], g["shapes"]) < 0.5 for g in fields)
+
+
+def _renames(gone: list[dict], came: list[dict], old: list[dict], new: list[dict]) -> list[tuple[dict, dict]]:
+    """Pairs of fields that vanished and came up and are taken to be one. old, new: all fields of the two layouts.
+
+    A pair without common values still matches where many values of one type
+    have a shape that no other field has, before or after.
+    """
     scores = [[match_score(o, n) for n in came] for o in gone]
+    if gone and came:
+        lone = {id(f): _alone(f, fs) for some, fs in ((gone, old), (came, new)) for f in some}
+        many = lambda f: len(f["vals"]) >= SKETCH // 4
+        for i, o in enumerate(gone):
+            for j, n in enumerate(came):
+                if scores[i][j] < MATCH_AT and o["type"] == n["type"] and many(o) and many(n) and lone[id(o)] and lone[id(n)]:
+                    shape = _shape_likeness(o["shapes"], n["shapes"])
+                    if shape >= 0.5:
+                        scores[i][j] = MATCH_AT + 0.1 * (shape - 0.5) + 0.1 * name_similarity(o["name"], n["name"])
     # below the threshold a pair is worth nothing, so it can't push out a good one
     scores = [[s if s >= MATCH_AT else 0.0 for s in r] for r in scores]
     return [(gone[i], came[j]) for i, j in best_matching(scores) if scores[i][j] >= MATCH_AT]
@@ -399,7 +465,7 @@ def layout_changes(old: list[dict], new: list[dict]) -> list[tuple[str, str, str
 
     def scope(a: dict[str, dict], b: dict[str, dict], pre: str) -> None:
         gone, came = [a[k] for k in sorted(a) if k not in b], [b[k] for k in sorted(b) if k not in a]
-        pairs = _renames(gone, came)
+        pairs = _renames(gone, came, list(a.values()), list(b.values()))
         moved = {o["name"] for o, _ in pairs}, {n["name"] for _, n in pairs}
         rows.extend((pre + o["name"], "renamed", pre + n["name"], n["type"]) for o, n in pairs)
         rows.extend((pre + o["name"], "removed", None, o["type"]) for o in gone if o["name"] not in moved[0])
@@ -483,13 +549,15 @@ def _role(name: str) -> str | None:
 
 
 def _millis(v: object) -> int | None:
+    """A whole number of 64 bits, or the epoch milliseconds of an ISO time; None for anything else."""
     if isinstance(v, bool) or v is None:
         return None
     if isinstance(v, (int, float)):
-        return int(v) if abs(v) < 2**63 else None
+        return int(v) if abs(v) < 2**63 and v == int(v) else None
     s = str(v)
     if _INTEGER.fullmatch(s):
-        return int(s)
+        n = int(s) if len(s) < 40 else 2**63
+        return n if abs(n) < 2**63 else None
     if _ISO.match(s):
         try:
             t = datetime.fromisoformat(s)
@@ -521,60 +589,157 @@ UNIFIED = (
 
 
 def _text(v: object) -> str | None:
-    if isinstance(v, dict) and "label" in v:
-        return _clean(str(v["label"]))
     return None if v is None else _clean(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
 
 
+def _named(v: object) -> tuple[str | None, bool]:
+    """Text of a field that holds a text, and whether that is all of it. An object stands for its only text member, if it has just one."""
+    if isinstance(v, dict):
+        texts = [x for x in v.values() if isinstance(x, str)]
+        if len(texts) == 1:
+            return _clean(texts[0]), len(v) == 1
+    return _text(v), True
+
+
+# Names of an envelope's two parts.
+METADATA, TASK = "metadata", "serialized_task"
+
+
+def _keys(field: dict, fields: list[dict]) -> list[str]:
+    """Names of the members of a field: of an object, or of the records inside a text."""
+    if field["type"] == "object":
+        return [g["name"] for g in fields if g["parent"] == field["name"]]
+    return [k for k, _, _ in (s.rpartition("\x1f") for s in field["shapes"]) if k.startswith("key:")]
+
+
+def roles(fields: list[dict]) -> tuple[str | None, str | None]:
+    """Which top-level fields of a layout are the metadata and the task, told by what they hold and then by name.
+
+    The metadata holds members like those of the task metadata.  The task is
+    another field that holds records or bytes, or has its very name.
+    """
+    tops = [f for f in fields if f["parent"] is None]
+    meta, top = None, 0.9
+    for f in tops:
+        own = [k.removeprefix("key:") for k in _keys(f, fields)]
+        score = sum(max((name_similarity(k, m) for k in own), default=0) >= 0.6 for m in METADATA_FIELDS) + 0.5 * name_similarity(f["name"], METADATA)
+        if score > top:
+            meta, top = f["name"], score
+    task, top = None, 0.5
+    for f in tops:
+        if f["name"] != meta:
+            kinds = [k for k, _, _ in (s.rpartition("\x1f") for s in f["shapes"])]
+            holds = any(k.startswith("key:") or k in ("record", "bytes") for k in kinds)
+            score = 0.5 * holds + 0.6 * name_similarity(f["name"], TASK)
+            if score >= top and (task is None or score > top):
+                task, top = f["name"], score
+    return meta, task
+
+
+def roles_in_files(layout: DataFrame) -> DataFrame:
+    """stream_no, file_no, meta, task (names of the parts in this file), metas, tasks (all names they have in the stream)."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            found = [roles([f if isinstance(f, dict) else f.asDict() for f in fs]) for fs in pdf["fields"]]
+            yield pd.DataFrame({"stream_no": pdf["stream_no"], "file_no": pdf["file_no"], "meta": [m for m, _ in found], "task": [t for _, t in found]})
+
+    own = written(layout.select("stream_no", "file_no", "fields").mapInPandas(run, "stream_no bigint, file_no int, meta string, task string"), "roles")
+    names = own.groupBy("stream_no").agg(F.collect_set("meta").alias("metas"), F.collect_set("task").alias("tasks"))  # distinct names, not files
+    return own.join(names, "stream_no")
+
+
+class _Envelope:
+    """One line's envelope; what can't go where it belongs goes to ``extra``, so that nothing is lost."""
+
+    def __init__(self):
+        self.meta: dict[str, object] = {}
+        self.task: bytes | None = None
+        self.extra: dict[str, str | None] = {}
+
+    def keep(self, name: str, path: str, v: object) -> None:
+        if v is None:
+            return
+        name = _clean(name)
+        if name in self.extra:  # taken: under its own path, numbered if need be
+            name = path = _clean(path)
+            n = 2
+            while name in self.extra:
+                name, n = f"{path}#{n}", n + 1
+        self.extra[name] = _text(v)
+
+    def put(self, field: str, path: str, v: object) -> None:
+        if v is None:
+            return
+        if field in self.meta:
+            self.keep(path, path, v)
+            return
+        got, whole = _named(v) if field.startswith("source") else (_millis(v), True)
+        if got is None or not whole:
+            self.keep(path, path, v)
+        if got is not None:
+            self.meta[field] = got
+
+
+def read_envelope(o: dict, names: dict[str, str], meta: str | None, task: str | None, metas: Iterable[str] = (), tasks: Iterable[str] = ()) -> _Envelope:
+    """The envelope on a line. names: paths of the file -> first names; meta, task: the file's parts; metas, tasks: names these have elsewhere in the stream."""
+    e = _Envelope()
+    # a stray line may have the names of another file of the stream
+    m = next((k for k in (meta, *metas, METADATA) if k is not None and o.get(k) is not None), None)
+    t = next((k for k in (task, *tasks, TASK) if k is not None and k != m and o.get(k) is not None), None)
+    for k, v in o.items():
+        if k == t:
+            e.task = _payload(v)
+        elif k != m:
+            e.keep(names.get(k, k), k, v)
+    if m is not None:
+        inner = o[m] if isinstance(o[m], dict) else parse_object(o[m]) if isinstance(o[m], str) else None
+        if inner is None:
+            e.keep(names.get(m, m), m, o[m])
+        else:
+            # names in a file's metadata object are recorded under the object's name at that time
+            first = {k: names.get(f"{m}.{k}", k).rpartition(".")[2] for k in inner}
+            for k in sorted(inner, key=lambda k: (k not in METADATA_FIELDS and f"{m}.{k}" not in names)):  # plain and renamed fields before other spellings
+                field = _role(first[k])
+                if field is None:
+                    e.keep(first[k], f"{m}.{k}", inner[k])
+                else:
+                    e.put(field, f"{m}.{k}", inner[k])
+    return e
+
+
 def _read(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["stream_no", "file_no", "line_no", *METADATA_FIELDS, "serialized_task", "extra"]
+    listed = lambda x: () if x is None else sorted(x)
     for pdf in pdfs:
         rows = []
-        for s, f, no, line, names_of in zip(pdf["stream_no"], pdf["file_no"], pdf["line_no"], pdf["line"], pdf["names"]):
+        for s, f, no, line, first, meta, task, metas, tasks in pdf.itertuples(index=False):
             o = parse_object(line)
-            if o is None:
-                continue
-            first = dict(names_of) if names_of is not None else {}
-            meta, task, extra = {}, None, {}
-            for k, v in o.items():
-                name = first.get(k, k)
-                inner = v
-                if isinstance(v, str) and ("meta" in name.lower()):
-                    inner = parse_object(v) or v
-                if isinstance(inner, dict) and "meta" in name.lower():
-                    for k2, v2 in inner.items():
-                        # names in a file's metadata object are recorded under the object's name at that time
-                        c = first.get(f"{k}.{k2}", k2).rpartition(".")[2]
-                        meta[_role(c) or c] = v2
-                elif "task" in name.lower() and "meta" not in name.lower():
-                    task = v
-                else:
-                    extra[_clean(name)] = _text(v)
-            row = [s, f, no]
-            for m in METADATA_FIELDS:
-                v = meta.pop(m, None)
-                row.append(_text(v) if m.startswith("source") else _millis(v))
-            extra.update({_clean(k): _text(v) for k, v in meta.items()})
-            rows.append((*row, _payload(task), extra))
+            if o is not None:
+                e = read_envelope(o, dict(first) if first is not None else {}, meta, task, listed(metas), listed(tasks))
+                rows.append((s, f, no, *(e.meta.get(m) for m in METADATA_FIELDS), e.task, e.extra))
         yield pd.DataFrame(rows, columns=names).astype({m: "Int64" for m in ("line_no", "timestamp_millis", "retry_count", "scheduled_time_millis")})
 
 
-def unified(lines: DataFrame, change: DataFrame, salts: int = 16) -> DataFrame:
-    """All parseable lines in one table (``UNIFIED``), whatever layout their file has.
+def unified(lines: DataFrame, change: DataFrame, layout: DataFrame, salts: int = 16) -> DataFrame:
+    """All parseable lines in one table (``UNIFIED``), whatever layout their file has; ``rejects`` has the others.
 
-    A field goes under the name it had in the stream's first file, spellings of
-    the metadata fields under the field's own name; what is no part of an
-    envelope lands in ``extra``.  Timestamps are epoch milliseconds whether
-    they came as numbers, digits or ISO text; the task's bytes are the same
-    whether they came as base64, as a list of bytes or as an object (then in
-    compact JSON).  Names are joined per file, salted, so that one file holding
-    a third of all lines is read by many tasks.  Lines without stream or file
-    number are left out.
+    Which fields are the metadata and the task follows from the layouts
+    (``roles``).  A field goes under the name it had in the stream's first file,
+    spellings of the metadata fields under the field's own name; what is no part
+    of an envelope lands in ``extra``.  So does what can't be converted or finds
+    its place taken, under its own path: no value is dropped.  Timestamps are
+    epoch milliseconds whether they came as numbers, digits or ISO text; the
+    task's bytes are the same whether they came as base64, as a list of bytes or
+    as an object (then in compact JSON).  Names are joined per file, salted, so
+    that one file holding a third of all lines is read by many tasks.  Lines
+    without stream or file number are left out.
     """
     lines = lines.select("stream_no", "file_no", "line_no", "line").filter("stream_no is not null and file_no is not null")
     alias = canonical_names(change)
-    files = lines.select("stream_no", "file_no").distinct()
-    per_file = names_in_files(files, alias).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    files = layout.select("stream_no", "file_no")
+    per_file = roles_in_files(layout).join(names_in_files(files, alias), ["stream_no", "file_no"], "left")
+    per_file = per_file.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("line_no", "line"), F.lit(salts)).cast("int"))
-    joined = salted.join(per_file, ["stream_no", "file_no", "salt"], "left").select("stream_no", "file_no", "line_no", "line", "names")
-    return joined.mapInPandas(_read, UNIFIED)
+    joined = salted.join(per_file, ["stream_no", "file_no", "salt"], "left")
+    return joined.select("stream_no", "file_no", "line_no", "line", "names", "meta", "task", "metas", "tasks").mapInPandas(_read, UNIFIED)

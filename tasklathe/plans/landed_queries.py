@@ -28,10 +28,32 @@ def p1_layouts(spark: SparkSession, d: str) -> DataFrame:
     return layout.select("stream_no", "file_no", "n_lines", "n_bad", F.inline(paths))
 
 
-def p1_unified(spark: SparkSession, d: str) -> DataFrame:
+def _unified(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "envelope_files")
-    change = drift.changes(drift.layouts(drift.profiles(lines)))
-    return drift.unified(lines, change).withColumn("extra", F.to_json("extra"))
+    layout = drift.layouts(drift.profiles(lines))
+    return drift.unified(lines, drift.changes(layout), layout)
+
+
+def p1_unified(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d).withColumn("extra", F.to_json("extra"))
+
+
+def p1_unified_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Which lines are in the unified table."""
+    return _unified(spark, d).select("stream_no", "file_no", "line_no")
+
+
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that aren't, with the reason."""
+    return drift.rejects(table(spark, d, "envelope_files")).select("stream_no", "file_no", "line_no", "reason")
+
+
+def p1_top_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Top-level names that went, came or changed type between files, renames taken as both: the part of the report that needs no matching."""
+    every = drift.changes(drift.layouts(drift.profiles(table(spark, d, "envelope_files"))))
+    one = lambda where, path, what: every.filter(where).select("stream_no", "file_no", F.col(path).alias("field_path"), F.lit(what).alias("what"))
+    parts = one("change_kind in ('removed', 'renamed')", "field_path", "gone").unionByName(one("change_kind in ('added', 'renamed')", "new_path", "came"))
+    return parts.unionByName(one("change_kind = 'type_changed'", "field_path", "type_changed")).filter(~F.contains("field_path", F.lit(".")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +156,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d).select(*dedup.split_identifier(F.col("ident"), POSITION), F.col("first").alias("log_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p3_found, p3_per_key, p3_chunks, p3_chunk_sizes, p5_found, p5_work_items, p5_ledger, p5_run_states, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_layouts, p1_unified, p1_unified_lines, p1_rejects, p1_top_changes, p3_found, p3_per_key, p3_chunks, p3_chunk_sizes, p5_found, p5_work_items, p5_ledger, p5_run_states, p6_found, p6_kept)}
 
 PLACED = r"""
 placed as (
@@ -167,8 +189,7 @@ covered as (
 select topic, partition_id, record_offset from covered where started is null or landed >= started
 """
 
-SQL = {
-    "p1_layouts": """
+LAYOUTS = """
 with parsed as (
   select stream_no, file_no, case when json_valid(line) and json_type(line) = 'OBJECT' then line end as j from envelope_files),
 heads as (select stream_no, file_no, count(j) as n_lines, count(*) - count(j) as n_bad from parsed group by all),
@@ -186,12 +207,32 @@ kinds as (
   select stream_no, file_no, parent, name,
          case t when 'VARCHAR' then 'string' when 'BIGINT' then 'integer' when 'UBIGINT' then 'integer' when 'DOUBLE' then 'number'
                 when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' end as kind, count(*) as n
-  from every where t <> 'NULL' group by all)
-select k.stream_no, k.file_no, any_value(n_lines) as n_lines, any_value(n_bad) as n_bad, concat_ws('.', k.parent, k.name) as field_path,
+  from every where t <> 'NULL' group by all),
+layout as (
+select k.stream_no, k.file_no, any_value(n_lines) as n_lines, any_value(n_bad) as n_bad, concat_ws('.', k.parent, k.name) as field_path, any_value(k.parent) as nested,
        arg_max(kind, n) as json_type
 from kinds k join heads h on k.stream_no = h.stream_no and k.file_no = h.file_no
 group by k.stream_no, k.file_no, k.parent, k.name
 having sum(n) * 2 > any_value(n_lines)
+)
+"""
+
+SQL = {
+    "p1_layouts": f"{LAYOUTS} select * exclude nested from layout",
+    "p1_unified_lines": "select stream_no, file_no, line_no from envelope_files where json_valid(line) and json_type(line) = 'OBJECT'",
+    "p1_rejects": """
+select stream_no, file_no, line_no, case when line is null then 'null' when trim(line, ' ' || chr(9) || chr(10) || chr(13)) = '' then 'empty' when json_valid(line) then 'no object' else 'broken' end as reason
+from envelope_files where line is null or not json_valid(line) or json_type(line) <> 'OBJECT'
+""",
+    "p1_top_changes": f"""
+{LAYOUTS}, files as (select stream_no, file_no, lag(file_no) over (partition by stream_no order by file_no) as prev_no from (select distinct stream_no, file_no from heads where n_lines > 0)),
+tops_of as (select stream_no, file_no, field_path, json_type from layout where nested is null),
+a as (select f.stream_no, f.file_no, t.field_path, t.json_type from files f join tops_of t on t.stream_no = f.stream_no and t.file_no = f.prev_no),
+b as (select f.stream_no, f.file_no, t.field_path, t.json_type from files f join tops_of t on t.stream_no = f.stream_no and t.file_no = f.file_no where f.prev_no is not null)
+select coalesce(a.stream_no, b.stream_no) as stream_no, coalesce(a.file_no, b.file_no) as file_no, coalesce(a.field_path, b.field_path) as field_path,
+       case when b.field_path is null then 'gone' when a.field_path is null then 'came' else 'type_changed' end as what
+from a full join b on a.stream_no = b.stream_no and a.file_no = b.file_no and a.field_path = b.field_path
+where a.json_type is distinct from b.json_type
 """,
     "p3_found": f"""
 with {PLACED}, n as (select topic, task_key, count(*) as n from placed where topic is not null group by all)
