@@ -48,6 +48,12 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.multi_select(every, ["source_application_id", "grain", *parts], QUANTILES).withColumnRenamed("value", "delay_ms")
 
 
+def p2_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles per application by the rounds alone: nothing is left to a sort."""
+    folded = percentiles.fold_values(_delays(spark, d), ["source_application_id"], F.col("delay"))
+    return percentiles.multi_select(folded, ["source_application_id"], QUANTILES, finish=0).withColumnRenamed("value", "delay_ms")
+
+
 def p2_folds(spark: SparkSession, d: str) -> DataFrame:
     """The form that is kept and combined: delays of an application, day and partition folded to values of 7 leading bits."""
     placed = with_position(_delays(spark, d))
@@ -111,6 +117,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     p2_percentiles,
     p2_combined_percentiles,
+    p2_selected,
     p2_folds,
     p4_found,
     p4_counts,
@@ -174,6 +181,7 @@ select source_application_id, case when no_day = 1 and no_part = 1 then 'all' wh
 from g
 """,
         "p2_combined_percentiles": _COARSE + _quantiles("source_application_id", "coarse"),
+        "p2_selected": f"with {PLACED}, {_DELAYS} " + _quantiles("source_application_id", "delays"),
         "p2_folds": _COARSE + "select source_application_id, day, topic, partition_id, delay as value, count(*) as n from coarse group by all",
         "p4_found": f"select field_name, item from ({_COUNTS})",
         "p4_counts": _COUNTS,

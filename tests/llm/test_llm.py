@@ -19,17 +19,13 @@ quick = settings(max_examples=5, deadline=None, suppress_health_check=list(Healt
 
 
 @quick
-@given(st.integers(0, 10**6))
-def test_multi_select_is_exact(spark, seed):
+@given(st.integers(0, 10**6), st.sampled_from([0, 1, 20, 10**6]))
+def test_multi_select_is_exact(spark, seed, finish):
     r = random.Random(seed)
     data = [(r.choice(["a", "a", "a", "b", "", None]), r.choice([None, *(int(r.gauss(0, 3000)) for _ in range(6))])) for _ in range(1500)]
     df = spark.createDataFrame(data, "g string, v bigint").withColumn("value", F.lit("clash")).repartition(5)
     folded = percentiles.fold_values(df, ["g"], F.col("v"))
-    old, percentiles.FINISH = percentiles.FINISH, 20  # so that several rounds are needed
-    try:
-        got = {(x["g"], x["quantile"]): (x["value"], x["n"]) for x in percentiles.multi_select(folded, ["g"], [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
-    finally:
-        percentiles.FINISH = old
+    got = {(x["g"], x["quantile"]): (x["value"], x["n"]) for x in percentiles.multi_select(folded, ["g"], [0.0, 0.07, 0.5, 0.99, 1.0], finish=finish).collect()}
     by = defaultdict(list)
     for g, v in data:
         if v is not None:
@@ -37,11 +33,19 @@ def test_multi_select_is_exact(spark, seed):
     want = {}
     for g, v in by.items():
         v.sort()
-        for q in (0.0, 0.25, 0.5, 0.99, 1.0):
-            want[g, q] = (v[max(1, -int(-q * len(v) // 1)) - 1], len(v))
+        for q, hundredths in ((0.0, 0), (0.07, 7), (0.5, 50), (0.99, 99), (1.0, 100)):
+            want[g, q] = (v[max(1, -(-hundredths * len(v) // 100)) - 1], len(v))
     assert got == want
 
 
+def test_ranks_are_not_rounded(spark):
+    assert percentiles.rank_of(0.07, 100) == 7 and percentiles.rank_of(0.55, 100) == 55 and percentiles.rank_of(0.999, 10**18) == 999 * 10**15
+    df = spark.range(1, 101).select(F.lit("a").alias("g"), F.col("id").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    for finish in (0, 1000):
+        got = {r["quantile"]: r["value"] for r in percentiles.multi_select(df, ["g"], [0.07, 0.55], finish=finish).collect()}
+        assert got == {0.07: 7, 0.55: 55}
+
+
 def test_folds_combine_with_bounded_error(spark):
     df = spark.range(20_000).select((F.col("id") % 7).alias("day"), ((F.col("id") * 7919) % 100_003 - 20_000).alias("v"))
     exact = {r["quantile"]: r["value"] for r in percentiles.multi_select(percentiles.fold_values(df.withColumn("g", F.lit(1)), ["g"], F.col("v")), ["g"], [0.1, 0.5, 0.9]).collect()}
@@ -57,11 +61,35 @@ def test_percentiles_of_nothing_and_in_slices(spark):
     assert percentiles.multi_select(percentiles.fold_values(none, ["g"], F.col("v")), ["g"], [0.5]).count() == 0
     many = spark.range(600).select((F.col("id") % 60).alias("g"), F.col("id").alias("v"))
     old, percentiles.MAX_STATES = percentiles.MAX_STATES, 10
+    read, select = [], percentiles._select
+
+    def watched(data, states, finish):
+        read.append((data.count(), {f.split("slice=")[1].split("/")[0] for f in data.inputFiles()}))
+        return select(data, states, finish)
+
+    percentiles._select = watched
     try:
-        got = percentiles.multi_select(percentiles.fold_values(many, ["g"], F.col("v")), ["g"], [0.5]).collect()
+        got = percentiles.multi_select(percentiles.fold_values(many, ["g"], F.col("v")), ["g"], [0.5], finish=3).collect()
     finally:
-        percentiles.MAX_STATES = old
+        percentiles.MAX_STATES, percentiles._select = old, select
     assert {(r["g"], r["value"]) for r in got} == {(g, g + 240) for g in range(60)}
+    assert len(read) > 3 and sum(n for n, _ in read) == 600 and all(len(f) == 1 for _, f in read)  # a slice reads its own files
+
+
+def test_candidates_are_written_anew(spark, monkeypatch):
+    kept, write = [], percentiles.written
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "kept":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(percentiles, "written", watched)
+    df = spark.range(20_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 100_003).alias("v"))
+    got = percentiles.multi_select(percentiles.fold_values(df, ["g"], F.col("v")), ["g"], [0.5], finish=50).first()["value"]
+    assert got == sorted(i * 7919 % 100_003 for i in range(20_000))[9999]
+    assert len(kept) >= 2 and kept == sorted(kept, reverse=True) and kept[-1] < 2000
 
 
 # --- frequent items -------------------------------------------------------------
