@@ -67,9 +67,10 @@ def _runs(table: pa.Table) -> tuple[list[tuple[int, int]], list[str]]:
 def _summary(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     from pyspark.taskcontext import TaskContext
 
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    some = [b for b in batches if b.num_rows]
+    if not some:
         return
+    table = pa.Table.from_batches(some)
     t = table.column("_t").to_numpy()
     bounds, keys = _runs(table)
     ends, outs = step_function(t[bounds[0][0] : bounds[0][1]], width)
@@ -83,9 +84,10 @@ def _summary(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 def _label(batches: Iterator[pa.RecordBatch], width: int, opens: dict[int, int]) -> Iterator[pa.RecordBatch]:
     from pyspark.taskcontext import TaskContext
 
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    some = [b for b in batches if b.num_rows]
+    if not some:
         return
+    table = pa.Table.from_batches(some)
     t = table.column("_t").to_numpy()
     w0 = np.empty(len(t), np.int64)
     for k, (a, b) in enumerate(_runs(table)[0]):
