@@ -139,9 +139,12 @@ def p5_run_states(spark: SparkSession, d: str) -> DataFrame:
     return ledger.states_of_reports(table(spark, d, "consume_runs"))
 
 
+BATCHES_A_DAY = 96  # landing batches come every quarter of an hour; a day of them is taken in at a time
+
+
 def _once(spark: SparkSession, d: str) -> DataFrame:
     log = positions(table(spark, d, "task_log"), "log_id", "batch_id").filter("topic is not null and partition_id is not null and record_offset is not null")
-    return dedup.deliver_once(log, ["topic", "partition_id", "record_offset"], "log_id", "batch_id", merge_at=3)
+    return dedup.deliver_once(log, ["topic", "partition_id", "record_offset"], "log_id", "batch_id", span=BATCHES_A_DAY, expected_ids=log.count())
 
 
 POSITION = {"topic": "string", "partition_id": "int", "record_offset": "bigint"}
@@ -152,7 +155,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_kept(spark: SparkSession, d: str) -> DataFrame:
-    """The row of each position that stays: of the first batch it came in, the one that landed first."""
+    """The row of each position that stays: of the first day it came in, the one that landed first."""
     return _once(spark, d).select(*dedup.split_identifier(F.col("ident"), POSITION), F.col("first").alias("log_id"), "n")
 
 
@@ -272,9 +275,8 @@ with {PLACED} select topic, partition_id, record_offset from placed where topic
 group by topic, partition_id, record_offset having count(*) > 1
 """,
     "p6_kept": f"""
-with {PLACED}, span as (select min(batch_id) as lo, max(batch_id) as hi from task_log)
-select topic, partition_id, record_offset, arg_min(log_id, (case when batch_id < lo + (hi - lo + 1) // 3 then 0
-         when batch_id < lo + (hi - lo + 1) * 2 // 3 then 1 else 2 end, log_id)) as log_id, count(*) as n
-from placed, span where topic is not null group by topic, partition_id, record_offset
+with {PLACED}
+select topic, partition_id, record_offset, arg_min(log_id, (batch_id // 96, log_id)) as log_id, count(*) as n
+from placed where topic is not null group by topic, partition_id, record_offset
 """,
 }

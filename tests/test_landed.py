@@ -200,19 +200,61 @@ def test_incremental_runs_repeat_nothing(spark, tmp_path):
 
 
 @quick
-@given(st.integers(0, 10**6), st.integers(1, 4))
-def test_deliver_once_is_brute_force(spark, seed, n_steps):
+@given(st.integers(0, 10**6), st.sampled_from([2, 4, 9]))
+def test_deliver_once_is_brute_force(spark, seed, span):
     r = random.Random(seed)
     data = [(r.choice(["a", "b", "a\x1fb", None]), r.randrange(3), r.choice([7, None, *range(30)]), i, r.choice([None, *range(9)])) for i in range(200)]
     df = spark.createDataFrame(data, "topic string, part int, off bigint, id bigint, batch bigint")
-    got = dedup.deliver_once(df, ["topic", "part", "off"], "id", "batch", n_steps=n_steps, merge_at=2).collect()
+    got = dedup.deliver_once(df, ["topic", "part", "off"], "id", "batch", span=span, merge_at=2).collect()
     assert len(got) == len({x["ident"] for x in got}) == len({d[:3] for d in data})
     assert sum(x["n"] for x in got) == len(data)
-    if n_steps == 1:
-        first = {}
-        for d in data:
-            first.setdefault(d[:3], d[3])
-        assert sorted(first.values()) == sorted(x["first"] for x in got)
+    step = lambda d: 0 if d[4] is None else d[4] // span
+    first = {}
+    for d in sorted(data, key=lambda d: (step(d), d[3])):
+        first.setdefault(d[:3], d[3])
+    assert sorted(first.values()) == sorted(x["first"] for x in got)
+    back = spark.createDataFrame(got, "ident string, n long, first long").select(*dedup.split_identifier(F.col("ident"), {"topic": "string", "part": "int", "off": "bigint"}))
+    assert {tuple(x) for x in back.collect()} == set(first)
+
+
+def test_identifiers_come_apart(spark):
+    odd = ["a\x1fb", "\x1e", "\x1e2", "\x1e0", "", None, "\x1f\x1e1", "x"]
+    df = spark.createDataFrame([(a, b) for a in odd for b in odd], "a string, b string").withColumn("ident", dedup.identifier("a", "b"))
+    got = df.select("a", "b", F.struct(*dedup.split_identifier(F.col("ident"), {"a": "string", "b": "string"})).alias("s")).collect()
+    assert all((r["a"], r["b"]) == tuple(r["s"]) for r in got) and df.select("ident").distinct().count() == len(odd) ** 2
+
+
+def test_index_grows_and_merges(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PREFIX_IDS", 40)
+    monkeypatch.setattr(dedup, "BUCKET_PREFIXES", 2)
+    ix = dedup.IdIndex(spark, 0, merge_at=3)
+    seen, layouts, most = set(), set(), 0
+    r = random.Random(4)
+    for b in range(12):
+        batch = [r.randrange(2000) for _ in range(90)]
+        df = spark.createDataFrame([(x,) for x in batch], "k int")
+        got = {x["ident"]: x["seen"] for x in ix.accept(df, dedup.identifier("k"), F.col("k"), str(b)).collect()}
+        assert got == {str(x): x in seen for x in set(batch)}
+        seen |= set(batch)
+        layouts.add(ix.state["bits"])
+        most = max(most, len(ix.runs))
+    assert len(layouts) >= 3 and sum(ix.runs.values()) == len(seen) and most < 9
+    arrays = ix._read(list(ix.runs)).select(F.size("hashes").alias("n"), F.expr("hashes = sort_array(hashes)").alias("ok")).collect()
+    assert all(x["ok"] for x in arrays) and max(x["n"] for x in arrays) < 40 * 8
+
+
+def test_index_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PREFIX_IDS", 10)
+    ix = dedup.IdIndex(spark, 1000)
+    ix.accept(spark.range(500), F.col("id").cast("string"), F.col("id"))
+    ix.accept(spark.range(400, 600), F.col("id").cast("string"), F.col("id"))
+    local = spark.range(5).select(F.xxhash64("id").alias("hash")).withColumn("prefix", ix._prefix())
+    plan = local.groupBy("prefix").cogroup(ix._read(list(ix.runs)).select("prefix", "hashes").groupBy("prefix")).applyInArrow(lambda a, b: a, "hash bigint, prefix bigint")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scan = text.index("FileScan parquet")
+    assert text.count("Exchange") == 1 and text.index("Exchange") < scan and "Bucketed: true" in text
+    merged = ix._read(list(ix.runs)).groupBy("prefix").agg(F.count("hashes"))
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
 
 
 def test_index_is_kept_and_batches_are_taken_in_once(spark, tmp_path):
