@@ -2,18 +2,26 @@
 
 A text is cut into lines: at line breaks, at ends of sentences, and every
 ``LINE_WORDS`` words where neither comes.  A line is reduced to nine small
-categorical features (share of links, hash tags, product codes, separators,
-function words; how it ends; how often its words recur in the text; length;
-words said twice in a row).  A hidden
-Markov model with the states prose, link list, tag list and menu labels the
-lines; a page is flagged if its non-prose lines hold more than half of its
-words.
-
-The model starts from the tables below, which say what each kind of line looks
-like, and is fitted to the whole corpus by expectation maximisation: every
-pass adds up expected counts over all documents (a fixed number of figures),
-and each new table is a mixture of what the corpus shows (one fifth) and the
-starting table, so that states keep their meaning whatever the corpus holds.
+categorical features: share of links, hash tags, product codes, separators; its
+vocabulary; how it ends; how often its words recur in the text; length; words
+said twice in a row.
+
+Which words belong to sentences is learnt from the corpus, in any language: of
+every word that enough documents have it is counted how often it stands in
+lines that are built like sentences (they end like one and hold no links, tags
+or codes) and in lines that are built like lists (of links, tags, codes or
+separated items, or with doubled words).  Words with more of sentences than the
+average one are sentence words, words with far less are list words.  A line's
+vocabulary is the share of sentence words among the words known as one or the
+other.
+
+A hidden Markov model with the states prose, link list, tag list and menu labels
+the lines; a page is flagged if its non-prose lines hold more than half of its
+words.  The model starts from the tables below, which say what each kind of line
+looks like, and is fitted to the whole corpus by expectation maximisation: every
+pass adds up expected counts over all documents (a fixed number of figures), and
+each new table is a mixture of what the corpus shows and the starting table, so
+that states keep their meaning whatever the corpus holds.
 
 Null and blank texts have no lines and are never flagged.
 """
@@ -23,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +44,17 @@ from tasklathe.shared import written
 
 STATES = ("prose", "link list", "tag list", "menu")
 LINE_WORDS = 24
-PIECE = 4000  # characters a line has at most
-BINS = (3, 3, 3, 3, 5, 3, 4, 4, 2)  # links, tags, codes, separators, function words, ending, recurrence, length, doubling
+# The first seven are a line's own; the last two need the vocabulary and the page.
+BINS = (3, 3, 3, 3, 3, 4, 2, 5, 4)  # links, tags, codes, separators, ending, length, doubling, vocabulary, recurrence
+OWN = int(np.prod(BINS[:7]))
 ROUNDS = 2
-ANCHOR = 0.8
+ANCHOR = 0.5  # weight of the starting tables
 NON_PROSE = 0.5
+SPREAD = 0.0005  # share of documents that must have a word for it to be known; so at most (distinct words of a mean document) / SPREAD words are
+LIST_ODDS = 0.1  # odds of standing in a sentence and not in a list, against the average word's, up to which a word is a list word
+PRIOR = 10  # times that a word is taken to have been seen like the average one, before it is counted
+KNOWN = 0.3  # share of a line's words that must be known for its vocabulary to say anything
+MAX_COUNTED = 200_000  # words that a task counts before it hands its counts on
 
 # What lines of each kind look like, per feature and bin, one row per state.
 LOOKS = (
@@ -51,127 +66,197 @@ LOOKS = (
     ((0.96, 0.03, 0.01), (0.96, 0.03, 0.01), (0.70, 0.10, 0.20), (0.60, 0.30, 0.10)),
     # share of separators
     ((0.90, 0.08, 0.02), (0.80, 0.15, 0.05), (0.60, 0.20, 0.20), (0.05, 0.15, 0.80)),
-    # share of function words: none, hardly any, few, some, many
-    ((0.03, 0.07, 0.13, 0.32, 0.45), (0.80, 0.13, 0.04, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01), (0.78, 0.14, 0.05, 0.02, 0.01)),
     # ends like a sentence: no, yes, not known because it was cut
     ((0.20, 0.70, 0.10), (0.67, 0.03, 0.30), (0.66, 0.04, 0.30), (0.67, 0.03, 0.30)),
-    # recurrence of its content words in the text: once, twice, a few times, often
-    ((0.58, 0.26, 0.11, 0.05), (0.50, 0.25, 0.15, 0.10), (0.06, 0.19, 0.30, 0.45), (0.10, 0.25, 0.30, 0.35)),
     # words in it: up to 3, up to 8, more, cut for its length
-    ((0.20, 0.30, 0.40, 0.10), (0.30, 0.20, 0.20, 0.30), (0.06, 0.20, 0.44, 0.30), (0.25, 0.20, 0.25, 0.30)),
+    ((0.20, 0.30, 0.40, 0.10), (0.30, 0.20, 0.20, 0.30), (0.05, 0.15, 0.50, 0.30), (0.25, 0.20, 0.25, 0.30)),
     # a word or a pair of words twice in a row: no, yes
     ((0.98, 0.02), (0.93, 0.07), (0.75, 0.25), (0.92, 0.08)),
+    # vocabulary: unknown, list words, mostly list words, mostly sentence words, sentence words
+    ((0.06, 0.015, 0.035, 0.14, 0.75), (0.35, 0.40, 0.15, 0.06, 0.04), (0.13, 0.55, 0.19, 0.09, 0.04), (0.18, 0.50, 0.19, 0.09, 0.04)),
+    # recurrence in the text of its words that are no sentence words: once, twice, a few times, often
+    ((0.58, 0.26, 0.11, 0.05), (0.50, 0.25, 0.15, 0.10), (0.12, 0.19, 0.28, 0.41), (0.10, 0.25, 0.30, 0.35)),
 )
 START = (0.76, 0.08, 0.08, 0.08)
 STAY = 0.9
 
-# Frequent function words of the languages the corpus is in.
-FUNCTION_WORDS = frozenset(
-    """
-    a about after all am an and any are as at be been before but by did do does for from had has have he her his i if in into is it its
-    just me more my no not of off on one or our out over she so some than that the their them then there they this to too up us was we
-    were what when where which while who will with would you your
-    aber als am an auch auf aus bei beim bin bis das dass dem den der des die doch du ein eine einem einen einer er es für hat habe haben
-    ich ihn ihr im in ist ja kein keine man mein meine mich mir mit nach nicht noch nur ob oder schon sehr sein seine sich sie sieht sind so um
-    und uns unter vom von vor war waren was wenn wer wie wir wird zu zum zur
-    au aux avec avoir avons ce cela ces cet cette chez comme dans de depuis des donc du elle elles en est et été étaient était eu il ils
-    je la le les leur lui ma mais me mes moi mon ne nos notre nous on ont ou où par pas plus pour qu que qui sa sans se ses si son
-    sont sur ta tout très tu un une vous y à
-    al algo ante aunque como con cual cuando de del desde donde el ella ellos en entre era es esta está este esto fue ha han hasta hay la
-    las le les lo los más me mi mis muy nada ni no nos o para pero por porque que quien se ser si sin sobre son su sus también tan tras tu un
-    una unas uno unos y ya yo
-    """.split()
-)
-
-_LINK = regex.compile(r"""<a\s[^<>]*>|</a>|\[[^\[\]\n]{0,200}\]\([^()\s]+\)|(?:https?://|www\.)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)+(?:/[\w\-./?=&%+#~]*)|(?<![\w@.])[\w-]{2,}\.(?:com|net|org|info|biz|shop|store|online|test|example|invalid)\b""", regex.I)
+_LINK = regex.compile(r"""<a\s[^<>]*+>|</a>|\[[^\[\]\n]*+\]\([^()\s]++\)|(?:https?://|www\.)\S++|(?<![\w@-])[\w-]++(?:\.[\w-]++)++(?:/[\w\-./?=&%+#~]*+)?+""", regex.I)
 _LINKED = re.compile(r"\w\.\w|<[aA]|\]\(|www\.|://")
-_ANCHOR = regex.compile(r"<a\s[^<>]*>[^<>]{0,200}</a>", regex.I)
-_TAG = regex.compile(r"#[^\s#,;|]+")
+_ANCHOR = regex.compile(r"<a\s[^<>]*+>[^<>]*+</a>", regex.I)
+_TAG = regex.compile(r"#[^\s#,;|]++")
 _DIGITS = re.compile(r"\d\d")
-_CODE = regex.compile(r"\b(?=[A-Z0-9/_-]*[A-Z])(?=[A-Z0-9/_-]*\d{2})[A-Z]{1,}[A-Z0-9]*(?:[-_/][A-Z0-9]+)*\b")
+_CODE = regex.compile(r"(?<![^\W_])[A-Z][A-Z0-9]*+(?:[-_/][A-Z0-9]++)*+(?![^\W_])")
+_SIGN = re.compile(r"[|·•»›→]|\s[>/\-–—*;+]\s|;\s|\s,\s")
 _SEPARATOR = regex.compile(r"[|·•»›→]|(?<=\s)[>/\-–—*,;+](?=\s)|,(?=\s)|;(?=\s)|\s/\s")
-_CUT = regex.compile(r"\n+|(?<=[.!?…。！？](?:[\"'”»)\]]{0,2}))\s+|(?<=[。！？])")
-_KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
-_HIRAGANA = regex.compile(r"\p{Hiragana}")
-_WORD = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]|[^\W_]+")
-_END = regex.compile(r"[.!?…。！？][\"'”»)\]]{0,2}\s*$")
+_CUT_ASCII = re.compile(r"""\n+|(?<=[.!?])\s+|(?<=[.!?]["')\]])\s+|(?<=[.!?]["')\]]{2})\s+""")
+_CUT = re.compile(r"""\n+|(?<=[.!?…。！？])\s+|(?<=[.!?…。！？]["'”»)\]])\s+|(?<=[.!?…。！？]["'”»)\]]{2})\s+|(?<=[。！？])""")
+_CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
+_PIECE = regex.compile(r"([\p{Hiragana}\p{Katakana}\p{Han}ー]++)|[^\W_\p{Hiragana}\p{Katakana}\p{Han}]++")
+_RUN = re.compile(r"[^\W_]+")
+_CLOSERS, _ENDS = "\"'”»)] \t\r", frozenset(".!?…。！？")
 
 
 def lines_of(text: str) -> Iterator[tuple[str, bool]]:
     """Lines of a text, and whether they were cut for their length: at line breaks and ends of sentences, and every LINE_WORDS words."""
-    for piece in _CUT.split(text):
-        for a in range(PIECE, len(piece), PIECE):  # a run without breaks: in pieces, so that patterns stay cheap
-            yield piece[a - PIECE : a], True
-            if a + PIECE >= len(piece):
-                piece = piece[a:]
-        if piece and not piece.isspace():
+    for piece in (_CUT_ASCII if text.isascii() else _CUT).split(text):
+        if not piece or piece.isspace():
+            continue
+        parts = piece.split(None, LINE_WORDS)
+        if len(parts) <= LINE_WORDS:
+            yield piece, False
+        else:
             parts = piece.split()
-            if len(parts) <= LINE_WORDS:
-                yield piece, False
+            for a in range(0, len(parts), LINE_WORDS):
+                yield " ".join(parts[a : a + LINE_WORDS]), True
+
+
+def tokens_of(line: str) -> list[str]:
+    """Words of a line in lower case; of a script without spaces, its pairs of neighbouring signs."""
+    runs = _RUN.findall(line.lower())
+    if line.isascii() or not _CJK.search(line):
+        return runs
+    out: list[str] = []
+    for run in runs:
+        for m in _PIECE.finditer(run):
+            piece = m[0]
+            if m[1] and len(piece) > 2:
+                out += [piece[i : i + 2] for i in range(len(piece) - 1)]
             else:
-                for a in range(0, len(parts), LINE_WORDS):
-                    yield " ".join(parts[a : a + LINE_WORDS]), True
+                out.append(piece)
+    return out
 
 
 def _share(x: float) -> int:
     return 0 if x < 0.08 else 1 if x < 0.4 else 2
 
 
-def _doubles(w: list[str]) -> bool:
-    """Does a word follow itself, or a pair of words follow that pair?"""
-    return any(a == b for a, b in zip(w, w[1:])) or any(a == c and b == d for a, b, c, d in zip(w, w[1:], w[2:], w[3:]))
+def own_features(line: str, words: list[str], cut: bool) -> int:
+    """The first seven features of a line as one number (mixed radix BINS)."""
+    n, size = len(words), max(1, len(line))
+    rest, linked, tags, codes = line, 0, 0, 0
+    if _LINKED.search(line):
+        rest = _LINK.sub(" ", _ANCHOR.sub(" ", line))
+        linked = len(line) - len(rest) + (line.count("](") + line.lower().count("<a ")) * 2
+    if "#" in rest:
+        tags = sum(map(len, _TAG.findall(rest)))
+    if _DIGITS.search(rest):
+        codes = sum(len(c) for c in _CODE.findall(rest) if _DIGITS.search(c))
+    signs = len(_SEPARATOR.findall(rest)) if _SIGN.search(rest) else rest.count(", ")
+    pairs = list(zip(words, words[1:]))
+    doubled = any(map(eq, words, words[1:])) or any(map(eq, pairs, pairs[2:]))
+    end = line.rstrip(_CLOSERS)[-1:] in _ENDS
+    code = (_share(min(1.0, linked / size)) * 3 + _share(tags / size)) * 3 + _share(codes / size)
+    code = (code * 3 + _share(2 * signs / n)) * 3 + (1 if end else 2 if cut else 0)
+    return (code * 4 + (3 if cut else 0 if n <= 3 else 1 if n <= 8 else 2)) * 2 + doubled
+
+
+def lines_with_features(text: str) -> tuple[list[int], list[str]]:
+    """Per line of a text that has words: its own features, and its words joined by spaces."""
+    codes, kept = [], []
+    for line, cut in lines_of(text):
+        words = tokens_of(line)
+        if words:
+            codes.append(own_features(line, words, cut))
+            kept.append(" ".join(words))
+    return codes, kept
 
 
-def line_features(text: str) -> tuple[list[int], list[int]]:
-    """Per line of a text: its features as one number (mixed radix BINS), and its number of words."""
-    found, per = [], []
-    often: Counter[str] = Counter()
-    for line, cut in lines_of(text):
-        words = [w.lower() for w in _WORD.findall(line)]
-        if not words:
-            continue
-        found.append((line, words, cut))
-        # signs of a script without spaces are no words: there the pieces between spaces recur or don't
-        often.update(line.split() if not line.isascii() and _KANA.search(line) else words)
-    for line, words, cut in found:
-        n = len(words)
-        rest, linked = line, 0
-        if _LINKED.search(line):
-            rest = _ANCHOR.sub(" ", line)
-            rest = _LINK.sub(" ", rest)
-            linked = len(line) - len(rest) + (line.count("](") + line.lower().count("<a ")) * 2
-        tags = sum(len(m) for m in _TAG.findall(rest)) if "#" in rest else 0
-        codes = sum(len(m) for m in _CODE.findall(rest)) if _DIGITS.search(rest) else 0
-        size = max(1, len(line))
-        signs = len(_SEPARATOR.findall(rest))
-        cjk = 0 if line.isascii() else len(_KANA.findall(line))
-        if cjk * 2 > n:
-            function = len(_HIRAGANA.findall(line)) / max(1, cjk)
-            few, some, most, many = 0.02, 0.12, 0.20, 0.32
-        else:
-            # parts of codes and tags may look like function words
-            plain = [w.lower() for w in _WORD.findall(_CODE.sub(" ", _TAG.sub(" ", rest)))] if tags or codes or linked else words
-            marks = len(_CODE.findall(rest)) + len(_TAG.findall(rest)) if tags or codes else 0
-            function = sum(w in FUNCTION_WORDS for w in plain) / max(1, len(plain) + marks)
-            few, some, most, many = 0.02, 0.10, 0.17, 0.26
-        content = line.split() if cjk else [w for w in words if w not in FUNCTION_WORDS]
-        again = sum(min(often[w], 6) for w in content) / max(1, len(content)) if content else 2.0
-        bins = (
-            _share(min(1.0, linked / size)),
-            _share(tags / size),
-            _share(codes / size),
-            _share(2 * signs / n),
-            sum(function >= x for x in (few, some, most, many)),
-            1 if _END.search(line) else 2 if cut else 0,
-            sum(again >= x for x in (1.5, 2.5, 3.5)),
-            3 if cut else 0 if n <= 3 else 1 if n <= 8 else 2,
-            int(_doubles(line.split() if cjk else words)),
-        )
-        code = 0
-        for b, k in zip(bins, BINS):
-            code = code * k + b
-        per.append(code)
-    return per, [len(w) for _, w, _ in found]
+def is_sentence(code: np.ndarray) -> np.ndarray:
+    """Is a line built like a sentence, by its own features: it ends like one, has more than three words and no links, tags or codes?"""
+    length, end, free = code // 2 % 4, code // 8 % 3, code // 72
+    return (end == 1) & (length > 0) & (free == 0)
+
+
+def is_list(code: np.ndarray) -> np.ndarray:
+    """Is a line built like a list: mostly links, tags or codes, or of separated items or doubled words without the end of a sentence?"""
+    doubled, end, signs, free = code % 2, code // 8 % 3, code // 24 % 3, code // 72
+    return (((doubled == 1) | (signs == 2)) & (end != 1)) | (free % 3 == 2) | (free // 3 % 3 == 2) | (free // 9 == 2)
+
+
+class Vocabulary:
+    """Sentence words and list words of a corpus."""
+
+    def __init__(self, sentence: set[str], listed: set[str]):
+        self.weight = dict.fromkeys(sentence, (1, 0)) | dict.fromkeys(listed, (0, 1))
+        self.sentence = sentence
+
+    def features(self, lines: list[list[str]]) -> list[int]:
+        """The last two features of every line of a text, as one number."""
+        often = Counter(w for line in lines for w in line)
+        out = []
+        for line in lines:
+            known = [x for x in map(self.weight.get, line) if x]
+            good = sum(x[0] for x in known)
+            if len(known) < KNOWN * len(line):
+                vocabulary = 0
+            else:
+                s = good / len(known)
+                vocabulary = 1 if s < 0.2 else 2 if s < 0.45 else 3 if s < 0.75 else 4
+            rest = [often[w] for w in line if w not in self.sentence]
+            again = sum(6 if x > 6 else x for x in rest) / len(rest) if rest else 2.0
+            out.append(vocabulary * 4 + (again >= 1.5) + (again >= 2.5) + (again >= 3.5))
+        return out
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, codes (own features), words (arrays with one entry per line) as a written table."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [lines_with_features(t) if t else ([], []) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.string()))], ["doc_id", "codes", "words"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, codes array<int>, words array<string>"), "lines")
+
+
+def word_counts(lines: DataFrame) -> DataFrame:
+    """word, docs (texts that have it), sentences and lists (times in lines built like these), over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, sentences, lists = Counter(), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = list(docs)
+            cols = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (docs, sentences, lists))]
+            for c in (docs, sentences, lists):
+                c.clear()
+            return pa.RecordBatch.from_arrays(cols, ["word", "docs", "sentences", "lists"])
+
+        for b in batches:
+            for codes, text in zip(b.column("codes").to_pylist(), b.column("words").to_pylist()):
+                if not codes:
+                    continue
+                whole = " ".join(text).split()
+                docs.update(set(whole))
+                codes = np.array(codes)
+                good, bad = is_sentence(codes), is_list(codes)
+                sentences.update(whole if good.all() else " ".join(t for t, ok in zip(text, good) if ok).split())
+                if bad.any():
+                    lists.update(" ".join(t for t, ok in zip(text, bad) if ok).split())
+                if len(docs) > MAX_COUNTED:
+                    yield flush()
+        yield flush()
+
+    part = lines.select("codes", "words").mapInArrow(run, "word string, docs bigint, sentences bigint, lists bigint")
+    return part.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("docs", "sentences", "lists")))
+
+
+def vocabulary(lines: DataFrame) -> Vocabulary:
+    """The corpus' sentence and list words."""
+    counts = written(word_counts(lines), "words")
+    every = counts.agg(F.sum("sentences").alias("s"), F.sum("lists").alias("l")).first()
+    n_docs = lines.filter(F.size("codes") > 0).count()
+    if not n_docs:
+        return Vocabulary(set(), set())
+    share = (every["l"] + 1) / (every["s"] + every["l"] + 2)  # of words that stand in lists
+    odds = (F.col("sentences") + PRIOR * (1 - share)) / (F.col("lists") + PRIOR * share)
+    usual = (1 - share) / share
+    known = counts.filter(F.col("docs") >= SPREAD * n_docs).filter("sentences > 0 or lists > 0").select("word", (odds / F.lit(usual)).alias("odds"))
+    sentence, listed = set(), set()
+    for r in known.filter((F.col("odds") >= 1) | (F.col("odds") <= LIST_ODDS)).toLocalIterator():  # bounded by SPREAD
+        (sentence if r["odds"] >= 1 else listed).add(r["word"])
+    return Vocabulary(sentence, listed)
 
 
 def bins_of(codes: np.ndarray) -> np.ndarray:
@@ -263,14 +348,21 @@ def posteriors(docs: list[np.ndarray], model: Model, emission: np.ndarray, count
 
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id, codes, sizes (arrays with one entry per line) as a written table."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = line_table(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(lines))
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    places = BINS[7] * BINS[8]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [line_features(t) if t else ([], []) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["doc_id", "codes", "sizes"])
-
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, codes array<int>, sizes array<int>"), "lines")
+            codes, sizes = [], []
+            for own, text in zip(b.column("codes").to_pylist(), b.column("words").to_pylist()):
+                words = [t.split(" ") for t in text]
+                codes.append([c * places + x for c, x in zip(own, sent.value.features(words))])
+                sizes.append([len(w) for w in words])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "codes", "sizes"])
+
+    return written(lines.mapInArrow(run, f"doc_id {kind}, codes array<int>, sizes array<int>"), "features")
 
 
 def _arrays(col: pa.Array) -> list[np.ndarray]:

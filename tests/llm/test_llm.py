@@ -393,6 +393,48 @@ def test_spam_pages(spark):
     assert linespam.spam_pages(docs.limit(0)).count() == 0
 
 
+NOUNS = "kettle toaster blender mixer lamp desk chair pillow router keyboard speaker heater fan grill pan pot knife scale tent backpack".split()
+
+
+def crawl(r, n):
+    """Pages like a shop's crawl: reviews in sentences, and keyword pages, so that words can be learnt."""
+    say = ["the {} came after two weeks and works well in the kitchen.", "we bought the {} for our office and it is quiet.", "my neighbour asked me where i got this.", "after a month the lid was loose, but they sent a new one.", "i would not buy it again because it is too loud for me."]
+    ad = ["cheap", "best", "sale", "online", "price", "shop"]
+    for i in range(n):
+        if i % 20 == 0:
+            w = [r.choice(ad) if r.random() < 0.4 else r.choice(NOUNS) for _ in range(40)]
+            yield (", " if i % 40 else " ").join(x for k, x in enumerate(w) for _ in range(1 + (k % 7 == 0)))
+        else:
+            own = r.choice(NOUNS)
+            yield " ".join(x.format(own).capitalize() for x in r.sample(say, 3))
+
+
+def test_probes(spark):
+    """Pages that a list of function words got wrong; words are learnt from the crawl around them."""
+    r = random.Random(8)
+    docs = list(enumerate(crawl(r, 1500)))
+    probes = {
+        "stop words stuffed": "the best kettle for you and the cheap kettle for you and the best kettle in the shop for you and the kettle for the sale " * 3,
+        "distinct products": " ".join(NOUNS[:18]),
+        "prose": "We bought the kettle for our office. It came after two weeks and it is too loud for me, but my neighbour works with it.",
+    }
+    docs += [(10_000 + i, t) for i, t in enumerate(probes.values())]
+    got = {x["doc_id"]: x["non_prose"] for x in linespam.page_shares(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [got[10_000 + i] > 0.5 for i in range(3)] == [True, True, False]
+    spam = {i for i in range(0, 1500, 20)}
+    flagged = {i for i in range(1500) if got[i] > 0.5}
+    assert len(flagged & spam) >= 0.97 * len(spam) and len(flagged - spam) <= 2
+
+
+def test_vocabulary_is_learnt(spark):
+    lines = linespam.line_table(spark.createDataFrame(list(enumerate(crawl(random.Random(1), 600))), "doc_id bigint, text string"))
+    v = linespam.vocabulary(lines)
+    assert {"the", "and", "it", "is", "for"} <= v.sentence and {"cheap", "best", "sale"} <= {w for w, x in v.weight.items() if x == (0, 1)}
+    counts = {x["word"]: x for x in linespam.word_counts(lines).collect()}
+    assert counts["the"]["docs"] <= 600 and counts["cheap"]["lists"] > 0 == counts["cheap"]["sentences"]
+    assert not linespam.vocabulary(lines.limit(0)).weight
+
+
 @given(st.lists(st.integers(0, linespam.N_CODES - 1), min_size=1, max_size=7))
 @settings(deadline=None, max_examples=40)
 def test_posteriors_are_brute_force(codes):
