@@ -578,3 +578,53 @@ def test_cadence_and_capacity_are_brute_force(spark, rows):
             held[p, d[1]] = i + 1 - head
     got = {(x["p"], x["o"]): (x["pending"], x["over"]) for x in commit.over_capacity(df, ["p"], "o", F.col("at"), F.col("done"), 10, 2).collect()}
     assert got == {k: (n, n > 12) for k, n in held.items()}
+
+
+def _mangled(r, m, task):
+    """An envelope or a metadata message, often cut off, altered or with other fields in it."""
+    b = wire.envelope_bytes(m, task) if r.random() < 0.5 else wire.metadata_bytes(m)
+    kind = r.randrange(6)
+    if kind == 0 and b:
+        return b[: r.randrange(len(b))]
+    if kind == 1 and b:
+        i = r.randrange(len(b))
+        return b[:i] + bytes([r.randrange(256)]) + b[i + 1 :]
+    if kind == 2:
+        return b + r.choice([b"\x38\x05", b"\x41" + b"x" * 8, b"\x45abcd", b"\x3a\x02hi", b"\x3b", b"\x08\xff\xff\xff\xff\xff\xff\xff\xff\xff\x01", b"\x12\x01\xff", b"\x08" + b"\xff" * 11])
+    if kind == 3:
+        return bytes(r.randrange(256) for _ in range(r.randrange(12)))
+    return b
+
+
+def test_messages_in_columns_are_read_as_single_ones(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    number = lambda: r.choice([0, 1, 127, 128, 300, 2**31, 2**62, -1, -(2**63), 1_740_986_529_912])
+    text = lambda: r.choice(["", "app", "ü€😀", "x" * 300])
+    rows = []
+    for i in range(1500):
+        m = {"timestamp_millis": number(), "source_application_id": text(), "source_instance_id": text(), "retry_count": number(), "scheduled_time_millis": number()}
+        task = bytes(r.randrange(256) for _ in range(r.randrange(200)))
+        rows.append((i, m, task, None if i % 50 == 0 else _mangled(r, m, task)))
+    df = spark.createDataFrame(rows, f"i int, m {wire.METADATA_TYPE}, task binary, b binary").repartition(3)
+    got = df.select("*", wire.encode_metadata(F.col("m")).alias("em"), wire.encode_envelope(F.col("m"), F.col("task")).alias("ee"), wire.decode_metadata(F.col("b")).alias("dm"), wire.decode_envelope(F.col("b")).alias("de")).collect()
+    n = 0
+    for x in got:
+        m = x["m"].asDict()
+        assert bytes(x["em"]) == wire.metadata_bytes(m) and bytes(x["ee"]) == wire.envelope_bytes(m, bytes(x["task"]))
+        b = None if x["b"] is None else bytes(x["b"])
+        try:
+            want = None if b is None else wire.metadata_of(b)
+        except ValueError:
+            want = None
+        assert (None if x["dm"] is None else x["dm"].asDict()) == want, b
+        try:
+            want = None if b is None else wire.envelope_of(b)
+        except ValueError:
+            want = None
+        assert (None if x["de"] is None else (wire.metadata_of(bytes(x["de"]["metadata"])), bytes(x["de"]["task"]))) == want, b
+        n += x["dm"] is not None
+    assert 300 < n < 1400
+    nulls = spark.range(1).select(wire.encode_metadata(F.lit(None).cast(wire.METADATA_TYPE)).alias("a"), wire.encode_envelope(F.lit(None).cast(wire.METADATA_TYPE), F.lit(None).cast("binary")).alias("b"), wire.decode_metadata(F.lit(None).cast("binary")).alias("c")).first()
+    assert nulls["a"] is None and bytes(nulls["b"]) == b"\n\x00" and nulls["c"] is None
