@@ -44,10 +44,15 @@ def _ints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pc.fill_null(col, 0).to_numpy(zero_copy_only=False), pc.is_valid(col).to_numpy(zero_copy_only=False)
 
 
-class _Run:
-    """State of the chunk that is open at the end of a batch."""
-
-    __slots__ = ("key", "chunk", "state", "first_tail")
+def _sums(v: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the pieces that begin at ``cut``; an error where one does not fit into 64 bits."""
+    out = np.add.reduceat(v, cut)
+    most = int(np.abs(v, dtype=np.float64).max(initial=0)) * int(np.diff(np.append(cut, len(v))).max(initial=0))
+    if most >= 2**63:  # only then can a piece overflow
+        exact = [sum(x.tolist()) for x in np.split(v, cut[1:])]
+        if any(not -(2**63) <= x < 2**63 for x in exact):
+            raise OverflowError("a sum does not fit into 64 bits")
+    return out
 
 
 def _reduce(batches: Iterable[pa.RecordBatch], n_keys: int, gap: int | None, nums: list[int], tails: list[int], chunk_rows: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -83,7 +88,7 @@ def _reduce(batches: Iterable[pa.RecordBatch], n_keys: int, gap: int | None, num
         for j, i in enumerate(nums):
             v, ok = _ints(b.column(i))
             cols[f"c{j}"] = np.add.reduceat(ok.astype(np.int64), cut)
-            cols[f"s{j}"] = np.add.reduceat(v.astype(np.int64), cut)
+            cols[f"s{j}"] = _sums(v.astype(np.int64), cut)
             cols[f"lo{j}"] = np.minimum.reduceat(np.where(ok, v, big), cut)
             cols[f"hi{j}"] = np.maximum.reduceat(np.where(ok, v, small), cut)
         if gap is not None:
@@ -122,10 +127,13 @@ def _reduce(batches: Iterable[pa.RecordBatch], n_keys: int, gap: int | None, num
             if held:
                 same[0] = True
             chunk = open_["row"]["chunk_no"] if open_ is not None and held else 0
-            nos = np.empty(m, np.int64)
-            for k in range(m):
-                chunk = chunk + 1 if same[k] and not (k == 0 and k0) else (chunk if k == 0 and k0 else 0)
-                nos[k] = chunk
+            # chunks of a key count up from 0, in the first key's run from where the open chunk left off
+            place = np.arange(m)
+            heads = np.maximum.accumulate(np.where(same, 0, place))
+            nos = place - heads
+            if held:
+                first_run = np.cumsum(~same) == 0
+                nos[first_run] = place[first_run] + chunk + (0 if k0 else 1)
             # whole pieces but the last are final: they leave as one batch built column by column
             lo, hi = k0, m - 1
             if done:
@@ -198,7 +206,7 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], *, gap_of: str | N
     ``tails`` the merged values under the names of :func:`chunk_states`
     (``first_at``/``last_at``: first and last row; ``tail_i``: last row of the
     key).  Sums over no value are 0 with ``n_i`` = 0 and null minimum and
-    maximum.
+    maximum; one that does not fit into 64 bits is an error.
     """
     s = chunk_states(df, keys, order, gap_of=gap_of, sums=sums, tails=tails, chunk_rows=chunk_rows)
     aggs = [F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_chunks")]

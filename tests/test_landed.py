@@ -472,3 +472,26 @@ def test_chunk_sizes_query(spark, rows):
     assert rows(got.select("topic", "n_rows", "hottest_key")) == rows(QUERIES["p3_chunks"](spark, "/root/testdata/sf0.001"))
     for r in got.collect():
         assert 0 < r["largest"] <= min(r["n_rows"], keychunks.CHUNK_ROWS) and r["n_chunks"] * r["largest"] >= r["n_rows"]
+
+
+def test_chunks_over_many_batches(spark):
+    """Numbers of rows where runs of a key go on from one Arrow batch to the next."""
+    r = random.Random(6)
+    data = sorted((r.choice("aaaaabbcdefghij"), i) for i in range(700))
+    df = spark.createDataFrame(data, "key string, t long").withColumn("v", F.lit(2**40))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (1, 3, 7, 50):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            s = keychunks.chunk_states(df, ["key"], ["t"], sums=["v"], tails=["t"], chunk_rows=5).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        for key, n in Counter(k for k, _ in data).items():
+            own = sorted((x for x in s if x["key"] == key), key=lambda x: x["row_from"])
+            assert [x["row_from"] for x in own] == [1, *(x["row_to"] + 1 for x in own[:-1])] and own[-1]["row_to"] == n
+            assert max(x["n_rows"] for x in own) <= 5 and sum(x["sum_0"] for x in own) == n * 2**40
+            ts = sorted(t for k, t in data if k == key)
+            assert [x["tail_0"] for x in own] == [ts[x["row_to"] - 1] for x in own]
+    huge = spark.createDataFrame([("a", i, 2**62) for i in range(8)], "key string, t long, v long")
+    with pytest.raises(Exception, match="64 bits|overflow|ARITHMETIC|large"):
+        keychunks.per_key(huge, ["key"], ["t"], sums=["v"]).collect()
