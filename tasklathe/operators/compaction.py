@@ -43,14 +43,18 @@ def fold(rows: list, compactor: Callable[[object, object], str]) -> object:
     return left
 
 
-def compact_with(df: DataFrame, key: str, time: str, offset: str, linger: int, compactor: Callable[[dict, dict], str]) -> DataFrame:
+def compact_with(df: DataFrame, key: str, time: str, offset: str, linger: int, compactor: Callable[[dict, dict], str], associative: bool = False) -> DataFrame:
     """Survivors (whole rows with w0) by any binary compactor, folded in arrival order.
 
-    Windows are folded in two rounds only if the compactor allows it; here one
-    window is one group, and its rows pass through it in order in pieces.
+    The rows of a window pass through one task, in order and one held at a time.
+    ``associative``: the compactor gives the same survivor however the rows are
+    put in brackets (as picking by a greatest value does); then each task folds
+    its stretch of a window first, so that a window holding a third of all rows
+    is spread over a third of the tasks, and only the stretches' survivors meet.
     """
     w = anchored_windows(df, [key], F.col(time), [offset], linger)
     schema = T.StructType(w.schema.fields)
+    keyed = T.StructType([*schema.fields, T.StructField("_g", T.StringType())])
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come sorted by (key, w0, time, offset): a window is a stretch, held as one row
@@ -65,12 +69,15 @@ def compact_with(df: DataFrame, key: str, time: str, offset: str, linger: int, c
                     if left is not None:
                         done.append(left)
                     left, at = r, here
-            yield pd.DataFrame(done, columns=[*schema.names, "_g"])[schema.names] if done else pd.DataFrame(columns=schema.names)
+            yield pd.DataFrame(done, columns=keyed.names)
         if left is not None:
-            yield pd.DataFrame([left])[schema.names]
+            yield pd.DataFrame([left], columns=keyed.names)
 
-    laid = w.withColumn("_g", F.to_json(F.struct(key))).repartition("_g", "w0").sortWithinPartitions("_g", "w0", time, offset)
-    return laid.mapInPandas(run, schema)
+    laid = w.withColumn("_g", F.to_json(F.struct(key)))
+    order = ["_g", "w0", time, offset]
+    if associative:
+        laid = laid.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, keyed)
+    return laid.repartition("_g", "w0").sortWithinPartitions(*order).mapInPandas(run, keyed).drop("_g")
 
 
 def survivors_per_window(compacted: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def compaction_pick_left(spark, d):
 def compaction_custom(spark, d):
     log = task_log(spark, d).select("k", "t", "o", "value")
     larger = lambda a, b: compaction.PICK_LEFT if a["value"] > b["value"] else compaction.PICK_EITHER
-    return compaction.compact_with(log, "k", "t", "o", HOUR, larger).select("k", "w0", "o")
+    return compaction.compact_with(log, "k", "t", "o", HOUR, larger, associative=True).select("k", "w0", "o")
 
 
 @query(_ANCHORED % {"w": HOUR, "filter": ""} + ", s as (select count(*) as n from fold group by k, w0) select count(*) as flushed, cast(sum(n - 1) as bigint) as compacted from s")

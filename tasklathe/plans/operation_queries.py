@@ -110,6 +110,21 @@ def subscription_retries(spark, d):
     return got.groupBy("topic", "key", "retry_count", "scheduled_time_millis").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_bucket("p", 200.0, 1000.0) + """
+select p, count(*) as n, count(*) filter (where wait > 0) as waiting, round(sum(wait), 1) as waited, cast(min(o % 4) as int) as least_lane, cast(max(o % 4) as int) as top_lane from w group by p
+""")
+def subscription_pace(spark, d):
+    """The pace that a subscription's properties set: five tasks a second and partition, four lanes (taken in turn, as keys are null here)."""
+    log = task_log(spark, d)
+    none = F.array().cast(extract.HEADERS_TYPE)
+    records = log.select("topic", F.col("p").alias("partition"), F.col("o").alias("offset"), F.col("t").alias("timestamp"), F.lit(None).cast("binary").alias("key"), F.encode("props", "UTF-8").alias("value"), none.alias("headers"))
+    sub = Subscription("sub", "events").overriding(**{"processing.rate.per.partition": 5, "partition.concurrency": 4}).consuming(extract.json_task("k int"))
+    got = sub.run(records).processed.withColumn("wait_ms", F.round("wait_ms", 3))
+    return got.groupBy(F.col("partition").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("wait_ms") > 0).alias("waiting"), F.round(F.sum("wait_ms"), 1).alias("waited"), F.min("lane").alias("least_lane"), F.max("lane").alias("top_lane")
+    )
+
+
 @query("select 'events-retry' as topic, p, o, k as key, props as task, o % 3 + 1 as retry_count, t + 7000 as scheduled_time_millis, true as bare from tlog where event_type = 'error'")
 def legacy_retry(spark, d):
     """Retries in the legacy format: an envelope as the value, and no metadata header."""

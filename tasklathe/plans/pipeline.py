@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklathe.config import Properties
-from tasklathe.operators import extract, filters, quota, retry
+from tasklathe.operators import extract, filters, partitioner, quota, retry, runtime, schedule
 from tasklathe.operators.quota import QuotaConfig
 from tasklathe.operators.scan import running
 from tasklathe.sources.log import subscribed
@@ -75,6 +75,19 @@ class Subscription:
         self._stages.extend(stages)
         return self
 
+    def processing(self, factory: Callable[[], runtime.Processor], schema: str, threads: int = 1) -> Subscription:
+        """A stage that runs a caller's processor: per key in order, on the partition's concurrency, giving up after the timeout of the properties.
+
+        Its rows have the columns of ``schema``, ``completion`` and ``error``;
+        the processor gets the extracted task's columns as dicts.
+        """
+
+        def run(df: DataFrame) -> DataFrame:
+            flat = df.select("topic", "partition", "offset", F.decode("key", "UTF-8").alias("key"), *(["task.*"] if dict(df.dtypes)["task"].startswith("struct") else ["task"]))
+            return runtime.process(flat, factory, schema, "key", ["partition", "offset"], threads=max(threads, self.properties["partition.concurrency"]), timeout_ms=self.properties["deferred.complete.timeout.ms"])
+
+        return self.then(run)
+
     def ignore_keys(self, keys: Iterable[str]) -> Subscription:
         self._keys.extend(keys)
         return self
@@ -101,6 +114,20 @@ class Subscription:
         config = self._quota if self._quota.rate >= 0 else replace(self._quota, rate=self.properties["per.key.quota.processing.rate"])
         return config if config.rate >= 0 else None
 
+    def _paced(self, kept: DataFrame) -> DataFrame:
+        """Records with what the properties say on their pace: ``wait_ms`` under a rate per partition, ``lane`` under a concurrency above 1.
+
+        A rate of 0 lets nothing pass.  Records of other topics than the origin
+        have limiters of their own.
+        """
+        rate, lanes = self.properties["processing.rate.per.partition"], self.properties["partition.concurrency"]
+        if rate >= 0:
+            arrived = running(kept, ["topic", "partition"], "offset", {"_at": ("max", F.col("timestamp"))})
+            kept = schedule.token_bucket(arrived, ["topic", "partition"], "offset", F.coalesce("_at", F.lit(0)), rate).withColumnRenamed("wait", "wait_ms").drop("_at")
+        if lanes > 1:
+            kept = partitioner.with_lanes(kept, F.col("key"), "partition", "offset", lanes)
+        return kept
+
     def _split_bursts(self, kept: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """What complies with the quota, and the bursts.
 
@@ -131,6 +158,7 @@ class Subscription:
         # keys are dropped on the raw column, before anything is parsed
         kept = filters.ignore_keys(records, "key", [k.encode() for k in keys])
         kept, bursts = self._split_bursts(kept)
+        kept = self._paced(kept)
         legacy = self.properties["legacy.parse.fallback.enabled"]
         if self._raw:
             tasks = extract.retry_extract(kept, self._retry_topic or f"{self.topic}-retry", self._extract, legacy)

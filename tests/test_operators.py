@@ -628,3 +628,36 @@ def test_messages_in_columns_are_read_as_single_ones(spark):
     assert 300 < n < 1400
     nulls = spark.range(1).select(wire.encode_metadata(F.lit(None).cast(wire.METADATA_TYPE)).alias("a"), wire.encode_envelope(F.lit(None).cast(wire.METADATA_TYPE), F.lit(None).cast("binary")).alias("b"), wire.decode_metadata(F.lit(None).cast("binary")).alias("c")).first()
     assert nulls["a"] is None and bytes(nulls["b"]) == b"\n\x00" and nulls["c"] is None
+
+
+def test_compaction_in_stretches(spark, rows):
+    from tasklathe.operators import compaction
+
+    r = random.Random(5)
+    data = [("hot" if r.random() < 0.7 else r.choice(["a", None]), r.randrange(20_000), i, r.randrange(50)) for i in range(900)]
+    df = spark.createDataFrame(data, "k string, t bigint, o bigint, v int").repartition(6)
+    larger = lambda a, b: "left" if a["v"] > b["v"] else "either"
+    assert rows(compaction.compact_with(df, "k", "t", "o", 9000, larger, associative=True)) == rows(compaction.compact_with(df, "k", "t", "o", 9000, larger))
+
+
+def test_subscription_runs_a_processor_with_timeout_and_pace(spark):
+    from concurrent.futures import Future
+
+    from tasklathe.streaming.subscription import pace
+
+    class Slow:
+        def process(self, row):
+            return Future() if row["k"] == 3 else {"k": row["k"], "at": row["offset"]}
+
+        def close(self):
+            pass
+
+    recs = spark.range(8).selectExpr("'events' topic", "0 partition", "id offset", "id * 10 timestamp", "cast(id % 2 as string) key", "cast(concat('{\"k\": ', id, '}') as binary) value", "cast(array() as array<struct<key:string,value:binary>>) headers").withColumn("key", F.encode("key", "UTF-8"))
+    sub = Subscription("s", "events").overriding(**{"deferred.complete.timeout.ms": 20, "processing.rate.per.partition": 2}).consuming(extract.json_task("k int")).processing(Slow, "k int, at bigint")
+    got = sub.run(recs).processed.collect()
+    assert sorted(r["k"] for r in got if r["completion"] == "sync") == [0, 1, 2, 4, 5, 6, 7] and [r["completion"] for r in got if r["k"] is None] == ["timed_out"]
+    assert Subscription("s", "events").overriding(**{"processing.rate.per.partition": 0}).consuming(extract.json_task("k int")).run(recs).processed.count() == 0
+    slept = []
+    pace(recs, 2, 1.5, slept.append)
+    pace(recs, -1, 0, slept.append)
+    assert slept == [2.5]
