@@ -84,16 +84,16 @@ def sketch_bounds(df: DataFrame, partition: str, key: str, epsilon: float = EPSI
     folded beforehand; ``under`` and ``over`` count keys estimated below the
     truth or above it by more than epsilon times the rows.
     """
-    folded = df.filter(F.col(key).isNotNull()).groupBy(partition, key).agg(F.count(F.lit(1)).alias("n"))
+    folded = df.filter(F.col(key).isNotNull() & F.col(partition).isNotNull()).groupBy(partition, key).agg(F.count(F.lit(1)).alias("n"))
     spread = folded.select(F.col(partition).alias("p"), F.xxhash64(F.col(key)).alias("h"), "n").repartition("p", F.pmod("h", F.lit(8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            p, h, n = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            for q in set(p):
-                at = np.array([x == q for x in p])
-                held.setdefault(q, []).append((h[at], n[at]))
+            p, h, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for q in np.unique(p):
+                at = p == q
+                held.setdefault(int(q), []).append((h[at], n[at]))
         rows = []
         for q, parts in held.items():
             h, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])

@@ -661,3 +661,19 @@ def test_subscription_runs_a_processor_with_timeout_and_pace(spark):
     pace(recs, 2, 1.5, slept.append)
     pace(recs, -1, 0, slept.append)
     assert slept == [2.5]
+
+
+def test_sketch_of_arrivals_is_one_by_one():
+    rng = np.random.default_rng(2)
+    for eps in (0.3, 0.02, 0.0005):  # from all hashes sharing counters to hardly any
+        s = CountMin(eps, 0.01)
+        cells, rows = np.zeros_like(s.cells), np.arange(s.depth)
+        hashes = rng.zipf(1.3, 9000).astype(np.int64) * 0x9E3779B97F4A7C1 % 2**62
+        counts = rng.integers(1, 5, 9000)
+        want = []
+        at = s._at(hashes)
+        for i, n in enumerate(counts):
+            c = cells[rows, at[:, i]]
+            want.append(c.min() + n)
+            cells[rows, at[:, i]] = np.maximum(c, want[-1])
+        assert (s.add(hashes, counts) == np.array(want)).all() and (s.cells == cells).all()
