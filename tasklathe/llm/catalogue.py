@@ -98,6 +98,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack_texts(table(spark, d, "documents")))
 
 
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for every document: all its tokens are placed, it is split only where it must be, and no container it lies in is too full."""
+    docs = table(spark, d, "documents")
+    packed = written(packing.pack_texts(docs), "packed")
+    loads = packed.filter("container_no is not null").groupBy("container_no").agg((F.sum("length") <= packing.CAPACITY).alias("fits"))
+    per = packed.join(loads, "container_no", "left").groupBy("id").agg(F.sum("length").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.bool_and(F.coalesce("fits", F.lit(True))).alias("fits"))
+    n = F.col("n_tokens")
+    return packing.token_counts(docs).join(per, "id").select(
+        F.col("id").alias("doc_id"), (n > 0).alias("has_tokens"), (n == F.col("placed")).alias("kept"), (F.col("pieces") == F.greatest(F.lit(1), F.ceil(n / packing.CAPACITY))).alias("unsplit"), "fits"
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -124,6 +136,7 @@ _QUERIES = (
     p4_estimates,
     p7_containers,
     p7_fill,
+    p7_documents,
     p8_found,
     p8_paraphrases,
     p9_found,
@@ -183,6 +196,7 @@ from g
         "p2_combined_percentiles": _COARSE + _quantiles("source_application_id", "coarse"),
         "p2_selected": f"with {PLACED}, {_DELAYS} " + _quantiles("source_application_id", "delays"),
         "p2_folds": _COARSE + "select source_application_id, day, topic, partition_id, delay as value, count(*) as n from coarse group by all",
+        "p7_documents": "select doc_id, coalesce(text, '') <> '' as has_tokens, true as kept, true as unsplit, true as fits from documents",
         "p4_found": f"select field_name, item from ({_COUNTS})",
         "p4_counts": _COUNTS,
     }
