@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 from operator import eq
 
 import numpy as np
@@ -130,20 +131,27 @@ def _share(x: float) -> int:
     return 0 if x < 0.08 else 1 if x < 0.4 else 2
 
 
-def own_features(line: str, words: list[str], cut: bool) -> int:
-    """The first seven features of a line as one number (mixed radix BINS)."""
+def signs_of(text: str) -> tuple[bool, bool, bool, bool]:
+    """May there be links, tags, codes, separators other than commas in a text? Most texts have none, and their lines needn't be searched."""
+    return bool(_LINKED.search(text)), "#" in text, bool(_DIGITS.search(text)), bool(_SIGN.search(text))
+
+
+def own_features(line: str, words: list[str], cut: bool, may: tuple[bool, bool, bool, bool] = (True,) * 4) -> int:
+    """The first seven features of a line as one number (mixed radix BINS). may: what to look for (``signs_of`` its text)."""
     n, size = len(words), max(1, len(line))
     rest, linked, tags, codes = line, 0, 0, 0
-    if _LINKED.search(line):
+    if may[0] and _LINKED.search(line):
         rest = _LINK.sub(" ", _ANCHOR.sub(" ", line))
         linked = len(line) - len(rest) + (line.count("](") + line.lower().count("<a ")) * 2
-    if "#" in rest:
+    if may[1] and "#" in rest:
         tags = sum(map(len, _TAG.findall(rest)))
-    if _DIGITS.search(rest):
+    if may[2] and _DIGITS.search(rest):
         codes = sum(len(c) for c in _CODE.findall(rest) if _DIGITS.search(c))
-    signs = len(_SEPARATOR.findall(rest)) if _SIGN.search(rest) else rest.count(", ")
-    pairs = list(zip(words, words[1:]))
-    doubled = any(map(eq, words, words[1:])) or any(map(eq, pairs, pairs[2:]))
+    signs = len(_SEPARATOR.findall(rest)) if may[3] and _SIGN.search(rest) else rest.count(", ")
+    doubled = False
+    if len(set(words)) < n:
+        pairs = list(zip(words, words[1:]))
+        doubled = any(map(eq, words, words[1:])) or any(map(eq, pairs, pairs[2:]))
     end = line.rstrip(_CLOSERS)[-1:] in _ENDS
     code = (_share(min(1.0, linked / size)) * 3 + _share(tags / size)) * 3 + _share(codes / size)
     code = (code * 3 + _share(2 * signs / n)) * 3 + (1 if end else 2 if cut else 0)
@@ -153,10 +161,11 @@ def own_features(line: str, words: list[str], cut: bool) -> int:
 def lines_with_features(text: str) -> tuple[list[int], list[str]]:
     """Per line of a text that has words: its own features, and its words joined by spaces."""
     codes, kept = [], []
+    may = signs_of(text)
     for line, cut in lines_of(text):
         words = tokens_of(line)
         if words:
-            codes.append(own_features(line, words, cut))
+            codes.append(own_features(line, words, cut, may))
             kept.append(" ".join(words))
     return codes, kept
 
@@ -173,24 +182,28 @@ def is_list(code: np.ndarray) -> np.ndarray:
     return (((doubled == 1) | (signs == 2)) & (end != 1)) | (free % 3 == 2) | (free // 3 % 3 == 2) | (free // 9 == 2)
 
 
+SENTENCE, LISTED = 1, 2
+
+
 class Vocabulary:
     """Sentence words and list words of a corpus."""
 
     def __init__(self, sentence: set[str], listed: set[str]):
-        self.weight = dict.fromkeys(sentence, (1, 0)) | dict.fromkeys(listed, (0, 1))
+        self.kind = dict.fromkeys(sentence, SENTENCE) | dict.fromkeys(listed, LISTED)
         self.sentence = sentence
 
     def features(self, lines: list[list[str]]) -> list[int]:
         """The last two features of every line of a text, as one number."""
-        often = Counter(w for line in lines for w in line)
+        often = Counter(chain.from_iterable(lines))
         out = []
         for line in lines:
-            known = [x for x in map(self.weight.get, line) if x]
-            good = sum(x[0] for x in known)
-            if len(known) < KNOWN * len(line):
+            kinds = list(map(self.kind.get, line))
+            good = kinds.count(SENTENCE)
+            known = good + kinds.count(LISTED)
+            if known < KNOWN * len(line):
                 vocabulary = 0
             else:
-                s = good / len(known)
+                s = good / known
                 vocabulary = 1 if s < 0.2 else 2 if s < 0.45 else 3 if s < 0.75 else 4
             rest = [often[w] for w in line if w not in self.sentence]
             again = sum(6 if x > 6 else x for x in rest) / len(rest) if rest else 2.0
@@ -224,16 +237,20 @@ def word_counts(lines: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, ["word", "docs", "sentences", "lists"])
 
         for b in batches:
-            for codes, text in zip(b.column("codes").to_pylist(), b.column("words").to_pylist()):
-                if not codes:
+            flat = b.column("codes").flatten().to_numpy()
+            good, bad = is_sentence(flat).tolist(), is_list(flat).tolist()
+            at = 0
+            for text in b.column("words").to_pylist():
+                if not text:
                     continue
+                to = at + len(text)
                 whole = " ".join(text).split()
                 docs.update(set(whole))
-                codes = np.array(codes)
-                good, bad = is_sentence(codes), is_list(codes)
-                sentences.update(whole if good.all() else " ".join(t for t, ok in zip(text, good) if ok).split())
-                if bad.any():
-                    lists.update(" ".join(t for t, ok in zip(text, bad) if ok).split())
+                fine = good[at:to]
+                sentences.update(whole if all(fine) else " ".join(compress(text, fine)).split())
+                if True in bad[at:to]:
+                    lists.update(" ".join(compress(text, bad[at:to])).split())
+                at = to
                 if len(docs) > MAX_COUNTED:
                     yield flush()
         yield flush()

@@ -429,10 +429,10 @@ def test_probes(spark):
 def test_vocabulary_is_learnt(spark):
     lines = linespam.line_table(spark.createDataFrame(list(enumerate(crawl(random.Random(1), 600))), "doc_id bigint, text string"))
     v = linespam.vocabulary(lines)
-    assert {"the", "and", "it", "is", "for"} <= v.sentence and {"cheap", "best", "sale"} <= {w for w, x in v.weight.items() if x == (0, 1)}
+    assert {"the", "and", "it", "is", "for"} <= v.sentence and {"cheap", "best", "sale"} <= {w for w, x in v.kind.items() if x == linespam.LISTED}
     counts = {x["word"]: x for x in linespam.word_counts(lines).collect()}
     assert counts["the"]["docs"] <= 600 and counts["cheap"]["lists"] > 0 == counts["cheap"]["sentences"]
-    assert not linespam.vocabulary(lines.limit(0)).weight
+    assert not linespam.vocabulary(lines.limit(0)).kind
 
 
 @given(st.lists(st.integers(0, linespam.N_CODES - 1), min_size=1, max_size=7))
