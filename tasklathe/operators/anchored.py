@@ -47,11 +47,11 @@ def window_starts(t: np.ndarray, width: int, opens: int = FREE) -> np.ndarray:
 def step_function(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For a run of ascending times: (ends, outs); windows that may open at x leave outs[j], j the first with ends[j] >= x, or x itself."""
     nxt = np.searchsorted(t, t + width, "left")
-    last = t.copy()
-    for i in range(len(t) - 1, -1, -1):
-        if nxt[i] < len(t):
-            last[i] = last[nxt[i]]
-    out = last + width
+    # the last window of the chain that begins at each row, by doubling the steps
+    last = np.where(nxt < len(t), nxt, np.arange(len(t)))
+    while len(t) and (last[last] != last).any():
+        last = last[last]
+    out = t[last] + width
     edge = np.flatnonzero(np.append(out[1:] != out[:-1], True))
     return t[edge], out[edge]
 
