@@ -263,10 +263,10 @@ class Ledger:
         schema = f"{EVENTS}, seq bigint"
         if not top:
             return self.spark.createDataFrame([], schema)
-        names = self.spark.read.text([f"{self.path}/manifests/m-{n:09d}" for n in range(1, top + 1)], wholetext=True)
-        said = names.select(F.regexp_extract(F.col("_metadata.file_name"), r"m-(\d+)", 1).cast("bigint").alias("seq"), F.trim("value").alias("part"))
+        names = self.spark.read.option("pathGlobFilter", "m-?????????").text(f"{self.path}/manifests", wholetext=True)
+        said = names.select(F.regexp_extract(F.col("_metadata.file_name"), r"m-(\d+)", 1).cast("bigint").alias("seq"), F.trim("value").alias("part")).filter(F.col("seq") <= top)
         rows = self.spark.read.schema(f"{EVENTS}, part string").parquet(f"{self.path}/events")
-        return rows.join(F.broadcast(said), "part").drop("part")  # a row per append
+        return rows.join(said, "part").drop("part")  # a row per append on the right
 
     def _append(self, make: Callable[[DataFrame], DataFrame | None]) -> tuple[DataFrame, int] | None:
         """Commit the events that ``make`` draws from the events so far; None if it draws none."""
