@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tasklathe.shared import drop_path, list_names, new_path, path_exists, read_text, write_text
 
 PREFIX_IDS = 32_768  # identifiers that a prefix of the index should hold
-BUCKET_PREFIXES = 8  # prefixes that a bucket should hold
+BUCKET_PREFIXES = 32  # prefixes that a bucket should hold: about a million identifiers
 MAX_BUCKETS = 16_384  # files of a run; beyond it buckets hold more prefixes, one of which is in memory at a time
 SEP = "\x1f"  # unit separator between the parts of an identifier
 # What stands for a null part, the escape sign and the separator.
