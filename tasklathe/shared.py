@@ -85,9 +85,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(temp, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if target.toUri().getScheme() in (None, "file"):
+    if fs.getUri().getScheme() == "file":
         try:
             os.link(temp.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            raise
+        except OSError:  # no links here: create the file itself, which must not exist
+            with open(target.toUri().getPath(), "x") as f:
+                f.write(text)
         finally:
             fs.delete(temp, False)
     elif fs.exists(target) or not fs.rename(temp, target):

@@ -495,3 +495,21 @@ def test_chunks_over_many_batches(spark):
     huge = spark.createDataFrame([("a", i, 2**62) for i in range(8)], "key string, t long, v long")
     with pytest.raises(Exception, match="64 bits|overflow|ARITHMETIC|large"):
         keychunks.per_key(huge, ["key"], ["t"], sums=["v"]).collect()
+
+
+def test_a_path_is_written_once(spark, tmp_path, monkeypatch):
+    from tasklathe import shared
+
+    (tmp_path / "m").mkdir()
+    shared.write_text(spark, f"file://{tmp_path}/m/a", "one")
+    with pytest.raises(FileExistsError):
+        shared.write_text(spark, f"file://{tmp_path}/m/a", "two")
+
+    def no_links(a, b):
+        raise PermissionError
+
+    monkeypatch.setattr(shared.os, "link", no_links)
+    shared.write_text(spark, f"{tmp_path}/m/b", "three")
+    with pytest.raises(FileExistsError):
+        shared.write_text(spark, f"{tmp_path}/m/b", "four")
+    assert [shared.read_text(spark, f"file://{tmp_path}/m/{n}") for n in "ab"] == ["one", "three"] and shared.list_names(spark, f"file://{tmp_path}/m") == ["a", "b"]
