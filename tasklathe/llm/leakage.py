@@ -94,6 +94,16 @@ class Passages:
         self.n_windows = np.maximum(1, sizes - WINDOW + 1)
         self.first_window = np.append(0, np.cumsum(self.n_windows))
 
+    @staticmethod
+    def again(parts: tuple) -> Passages:
+        """From ``parts``: what is broadcast is plain data, for executors that don't have this package."""
+        p = Passages.__new__(Passages)
+        p.vocabulary, p.words, p.start, p.n_windows, p.first_window = parts
+        return p
+
+    def parts(self) -> tuple:
+        return self.vocabulary, self.words, self.start, self.n_windows, self.first_window
+
     def of(self, k: int) -> list[int]:
         return self.words[self.start[k] : self.start[k + 1]].tolist()
 
@@ -380,7 +390,8 @@ class _Index:
 
 
 def _search(batches: Iterator[pa.RecordBatch], sent, exact: bool) -> Iterator[pa.RecordBatch]:
-    index = _Index(*sent.value)
+    parts, *rest = sent.value
+    index = _Index(Passages.again(parts), *rest)
     p = index.p
     for b in batches:
         docs, found = b.column("words").to_pylist(), []
@@ -454,7 +465,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, exact: bool = True, shared:
         vectors = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         total = int(p.first_window[-1])
         latent = np.concatenate([_unit(_vectors(p.window_words(a, min(a + 8192, total)), vectors)).astype(np.float16) for a in range(0, total, 8192)])
-        sent = spark.sparkContext.broadcast((p, vectors, latent, threshold(p, vectors, shared), shared))
+        sent = spark.sparkContext.broadcast((p.parts(), vectors, latent, threshold(p, vectors, shared), shared))
         hits = table.mapInArrow(lambda it, sent=sent: _search(it, sent, exact), f"id {kind}, passage_no int, cosine double, run int")
         names = spark.createDataFrame(list(enumerate(texts)), "passage_no int, words string")
         part = hits.join(names, "passage_no").select("id", "words", "cosine", "run")

@@ -192,6 +192,10 @@ class Vocabulary:
         self.kind = dict.fromkeys(sentence, SENTENCE) | dict.fromkeys(listed, LISTED)
         self.sentence = sentence
 
+    @property
+    def listed(self) -> set[str]:
+        return {w for w, k in self.kind.items() if k == LISTED}
+
     def features(self, lines: list[list[str]]) -> list[int]:
         """The last two features of every line of a text, as one number."""
         often = Counter(chain.from_iterable(lines))
@@ -366,16 +370,18 @@ def posteriors(docs: list[np.ndarray], model: Model, emission: np.ndarray, count
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id, codes, sizes (arrays with one entry per line) as a written table."""
     lines = line_table(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(lines))
+    known = vocabulary(lines)
+    sent = docs.sparkSession.sparkContext.broadcast((known.sentence, known.listed))  # plain data, for executors that don't have this package
     kind = lines.schema["doc_id"].dataType.simpleString()
     places = BINS[7] * BINS[8]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = Vocabulary(*sent.value)
         for b in batches:
             codes, sizes = [], []
             for own, text in zip(b.column("codes").to_pylist(), b.column("words").to_pylist()):
                 words = [t.split(" ") for t in text]
-                codes.append([c * places + x for c, x in zip(own, sent.value.features(words))])
+                codes.append([c * places + x for c, x in zip(own, words_of.features(words))])
                 sizes.append([len(w) for w in words])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "codes", "sizes"])
 
