@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +117,14 @@ class IdIndex:
         bits = self.state["bits"] if bits is None else bits
         return F.shiftrightunsigned(F.col("hash"), 64 - bits) if bits else F.lit(0).cast("bigint")
 
+    def _buckets(self, bits: int) -> int:
+        return max(1, min(MAX_BUCKETS, 2**bits // BUCKET_PREFIXES))
+
     def _table(self, bits: int, generation: int) -> str:
         """The runs of a generation as a bucketed table; made in the catalogue when it isn't there yet."""
         name = f"{self._name}_{generation}"
         if not self.spark.catalog.tableExists(name):
-            buckets = max(1, min(MAX_BUCKETS, 2**bits // BUCKET_PREFIXES))
+            buckets = self._buckets(bits)
             where = f"{self.path}/g-{generation}".replace("'", "\\'")
             self.spark.sql(f"CREATE TABLE {name} ({RUN}, run string) USING parquet PARTITIONED BY (run) CLUSTERED BY (prefix) INTO {buckets} BUCKETS LOCATION '{where}'")
             if path_exists(self.spark, f"{self.path}/g-{generation}"):
@@ -143,8 +145,7 @@ class IdIndex:
 
     def _new_run(self, novel: DataFrame, bits: int, generation: int) -> str:
         """A run of the rows hash, ident."""
-        buckets = max(1, min(MAX_BUCKETS, 2**bits // BUCKET_PREFIXES))
-        placed = novel.select(self._prefix(bits).alias("prefix"), "hash", "ident").repartition(buckets, "prefix")
+        placed = novel.select(self._prefix(bits).alias("prefix"), "hash", "ident").repartition(self._buckets(bits), "prefix")
         return self._write(placed.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("hash", "ident"))).alias("a")), bits, generation)
 
     def _level(self, n: int) -> int:
@@ -189,20 +190,26 @@ class IdIndex:
                 return
             self.merge(full[0])
 
-    def accept(self, batch: DataFrame, ident: Column, order: Column, batch_id: str | None = None) -> DataFrame:
+    def accept(self, batch: DataFrame, ident: Column, order: Column, batch_id: str | None = None, step: Column | None = None) -> DataFrame:
         """Take in a batch; one row per distinct identifier of it.
 
         Columns: ident, n (its rows in the batch), first (the least ``order``
         among them, the copy to keep), seen (an earlier batch had it).  The
-        result is a written table, so reading it again changes nothing.
+        result is a written table, so reading it again changes nothing.  Where
+        the batch is made of several, ``step`` numbers them, and first is that
+        of the least step which has the identifier.
         """
         batch_id = batch_id or uuid.uuid4().hex
         schema = "ident string, n bigint, first bigint, hash bigint, prefix bigint, seen boolean"
         if batch_id in self.state["batches"]:
             return self.spark.read.schema(schema).parquet(self.state["batches"][batch_id]).select("ident", "n", "first", "seen")
         self._tidy()  # what earlier batches left, before it is searched
-        local = batch.groupBy(ident.alias("ident")).agg(F.count(F.lit(1)).alias("n"), F.min(order).cast("bigint").alias("first"))
+        by = [ident.alias("ident")] if step is None else [ident.alias("ident"), step.alias("step")]
+        local = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(order).cast("bigint").alias("first"))
         local = local.withColumn("hash", F.xxhash64("ident")).withColumn("prefix", self._prefix())
+        if step is not None:  # the steps of an identifier meet where its prefix of the index is
+            local = local.repartition(self._buckets(self.state["bits"]), "prefix").groupBy("prefix", "hash", "ident")
+            local = local.agg(F.sum("n").alias("n"), F.min_by("first", "step").alias("first")).select("ident", "n", "first", "hash", "prefix")
         if self.runs:
             from pyspark.sql.pandas.types import to_arrow_schema
             from pyspark.sql.types import StructType
@@ -222,28 +229,55 @@ class IdIndex:
         return result.select("ident", "n", "first", "seen")
 
 
-def steps(df: DataFrame, batch_col: str, span: int) -> Iterator[tuple[int, DataFrame]]:
-    """The rows of ``df`` by ranges of ``span`` values of an integer batch column, in order; rows with a null batch come with the first."""
-    present = df.select(F.floor(F.col(batch_col) / span).alias("k")).filter("k is not null").distinct()
-    numbers = sorted(r[0] for r in present.collect())  # one per ingest
-    if not numbers:
-        yield 0, df
-        return
-    for i, k in enumerate(numbers):
-        inside = (F.col(batch_col) >= k * span) & (F.col(batch_col) < (k + 1) * span)
-        yield k, df.filter(inside | F.col(batch_col).isNull() if i == 0 else inside)
+def step_of(batch_col: str, span: int) -> Column:
+    """The number of a batch's range of ``span`` values."""
+    return F.floor(F.col(batch_col) / span)
+
+
+def ingests(sizes: dict[int, int]) -> list[list[int]]:
+    """Steps (number: rows) in order, gathered into ingests that each have at least as many rows as all before them.
+
+    An ingest reads the whole index, as its identifiers fall on all prefixes.
+    A backlog taken in by steps of one size would read it once a step; so
+    gathered, all ingests together read about twice what the index holds in the
+    end, and their number grows with the logarithm of the backlog.
+    """
+    out: list[list[int]] = []
+    before, now = 0, 0
+    for k in sorted(sizes):
+        if not out or now >= max(1, before):
+            out.append([])
+            before, now = before + now, 0
+        out[-1].append(k)
+        now += sizes[k]
+    return out
 
 
 def deliver_once(df: DataFrame, id_cols: list[str], order_col: str, batch_col: str, *, span: int = 1, merge_at: int = 4, expected_ids: int = 0) -> DataFrame:
     """One row per identifier over all batches: ident, n (rows in all), first (order of the copy to keep).
 
-    Batches are taken in in order, ``span`` numbers of ``batch_col`` at a time,
-    so the copy to keep is the first of the earliest ingest that had the
-    identifier.
+    Batches are taken in in order, by steps of ``span`` numbers of ``batch_col``
+    that are gathered into ``ingests``.  The copy to keep is the first of the
+    earliest step that had the identifier, however steps are gathered; rows with
+    a null batch come with the first step.  Without ``expected_ids`` the index
+    is laid out for as many identifiers as there are rows.
     """
     spark = df.sparkSession
-    index = IdIndex(spark, expected_ids=expected_ids, merge_at=merge_at)
-    taken = [index.accept(part, identifier(*id_cols), F.col(order_col), str(k)) for k, part in steps(df, batch_col, span)]
+    step = step_of(batch_col, span)
+    sizes = {k: n for k, n in df.groupBy(step.alias("k")).count().collect()}  # one row per step
+    total, unknown = sum(sizes.values()), sizes.pop(None, 0)
+    index = IdIndex(spark, expected_ids=expected_ids or total, merge_at=merge_at)
+    taken = []
+    if sizes:
+        least = min(sizes)
+        sizes[least] += unknown
+        for ks in ingests(sizes):
+            inside = (F.col(batch_col) >= ks[0] * span) & (F.col(batch_col) < (ks[-1] + 1) * span)
+            part = df.filter(inside | F.col(batch_col).isNull() if ks[0] == least else inside)
+            several = F.coalesce(step, F.lit(least)) if len(ks) > 1 else None
+            taken.append(index.accept(part, identifier(*id_cols), F.col(order_col), f"{ks[0]}-{ks[-1]}", several))
+    else:
+        taken.append(index.accept(df, identifier(*id_cols), F.col(order_col), "0"))
     index.close()
     every = taken[0]
     for t in taken[1:]:

@@ -217,6 +217,31 @@ def test_deliver_once_is_brute_force(spark, seed, span):
     assert {tuple(x) for x in back.collect()} == set(first)
 
 
+def test_a_long_backlog_takes_few_ingests(spark, monkeypatch):
+    r = random.Random(6)
+    data = [(r.randrange(90), 10_000 - i if i % 2 else i, r.choice([None, *range(48)])) for i in range(400)]
+    df = spark.createDataFrame(data, "off int, id bigint, batch bigint")
+    calls, plain = [], dedup.IdIndex.accept
+    monkeypatch.setattr(dedup.IdIndex, "accept", lambda self, *a, **k: calls.append(a) or plain(self, *a, **k))
+    got = {x["ident"]: (x["n"], x["first"]) for x in dedup.deliver_once(df, ["off"], "id", "batch").collect()}
+    want = {}
+    for off, i, _ in sorted(data, key=lambda d: (d[2] or 0, d[1])):
+        n, first = want.get(str(off), (0, i))
+        want[str(off)] = (n + 1, first)
+    assert got == want and 3 <= len(calls) <= 8  # 48 with an ingest for each number
+
+
+def test_ingests_have_the_rows_of_all_before_them():
+    r = random.Random(7)
+    for days in (1, 2, 20, 600):
+        sizes = {k: r.choice([1, 5, 300]) for k in r.sample(range(-700, 700), days)}
+        got = dedup.ingests(sizes)
+        assert [k for ks in got for k in ks] == sorted(sizes)
+        rows = [sum(sizes[k] for k in ks) for ks in got]
+        assert all(n >= sum(rows[:i]) for i, n in enumerate(rows[:-1])) and len(got) <= 2 + sum(sizes.values()).bit_length()
+    assert dedup.ingests({}) == [] and dedup.ingests({k: 100 for k in range(600)})[4] == list(range(8, 16))
+
+
 def test_identifiers_come_apart(spark):
     odd = ["a\x1fb", "\x1e", "\x1e2", "\x1e0", "", None, "\x1f\x1e1", "x"]
     df = spark.createDataFrame([(a, b) for a in odd for b in odd], "a string, b string").withColumn("ident", dedup.identifier("a", "b"))
